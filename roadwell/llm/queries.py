@@ -40,6 +40,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadwell.llm.repeats import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadwell.llm.sanitise import digest, find_spans
 
@@ -68,6 +75,7 @@ def queries() -> dict:
         "op2_media_columns": op2_media_columns,
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
+        "op5_repeats": op5_repeats,
         "op7_personal_data": op7_personal_data,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,

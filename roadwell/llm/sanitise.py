@@ -94,56 +94,42 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
-def _beside(text: Column, span: Column, entity: Column) -> Column:
-    """The terms on both sides of a span: (entity, term, start, stop)."""
-
-    def terms(begin, length, cut_first, cut_last, last_ones):
-        part = only_spaces_apart(F.substring(text, begin + 1, length))
-        pieces = F.split(part, " ")
-        placed = F.transform(
-            pieces,
-            lambda w, i: F.struct(
-                w.alias("w"),
-                (begin + F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda n, x: n + F.length(x) + 1)).alias("at"),
-            ),
-        )
-        n = F.size(pieces)
-        placed = F.slice(placed, 1 + cut_first, F.greatest(n - cut_first - cut_last, F.lit(0)))
-        # a term is three letters or more, without the punctuation around it
-        clean = F.transform(
-            placed,
-            lambda p: F.struct(
-                F.regexp_extract(p["w"], r"^[^\p{L}]*+([\p{L}'-]+)[^\p{L}\p{N}]*+$", 1).alias("w"),
-                (p["at"] + F.length(F.regexp_extract(p["w"], r"^([^\p{L}]*+)", 1))).alias("at"),
-            ),
-        )
-        kept = F.filter(clean, lambda p: F.length(p["w"]) >= 3)
-        size = F.size(kept)
-        from_ = F.greatest(size - BESIDE, F.lit(0)) + 1 if last_ones else F.lit(1)
-        return F.transform(
-            F.slice(kept, from_, BESIDE),
-            lambda p: F.struct(
-                entity.alias("entity"), F.xxhash64(F.lower(p["w"])).alias("term"),
-                p["at"].alias("start"), (p["at"] + F.length(p["w"])).alias("stop"),
-            ),
+def find_entities(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's hash, its base spans and the parts of the text on both sides of each."""
+    step = docs.select("doc_id", whole_text().alias("_text"))
+    step = step.select("doc_id", F.xxhash64("_text").alias("text_hash"), base_spans(F.col("_text")).alias("base"), "_text")
+    long = F.length("_text")
+
+    def sides(s):
+        name = F.concat(s["kind"].cast("string"), F.lower(F.substring("_text", s["start"] + 1, s["stop"] - s["start"])))
+        begin = F.greatest(s["start"] - REACH, F.lit(0))
+        left = F.substring("_text", begin + 1, s["start"] - begin)
+        right = F.substring("_text", s["stop"] + 1, F.lit(REACH))
+        side = lambda at, part, cut, before: F.struct(
+            F.xxhash64(name).alias("entity"), at.alias("at"), only_spaces_apart(part).alias("part"),
+            cut.alias("cut"), F.lit(before).alias("before"),
         )
+        return F.array(side(begin, left, begin > 0, True), side(s["stop"], right, s["stop"] + REACH < long, False))
 
-    left = F.greatest(span["start"] - REACH, F.lit(0))
-    at_end = F.when(span["stop"] + REACH < F.length(text), 1).otherwise(0)
-    return F.concat(
-        terms(left, span["start"] - left, F.when(left > 0, 1).otherwise(0), F.lit(0), True),
-        terms(span["stop"], F.lit(REACH), F.lit(0), at_end, False),
-    )
+    parts = F.when(F.size("base") > 0, F.flatten(F.transform("base", sides)))
+    return step.select("doc_id", "text_hash", "base", parts.alias("sides"))
 
 
-def find_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's hash, its base spans and, where it has any, the terms beside them."""
-    step = docs.select("doc_id", whole_text().alias("_text"))
-    step = step.select("doc_id", F.xxhash64("_text").alias("text_hash"), base_spans(F.col("_text")).alias("base"), "_text")
-    entity = lambda s: F.xxhash64(F.concat(s["kind"].cast("string"), F.lower(F.substring("_text", s["start"] + 1, s["stop"] - s["start"]))))
-    near = F.flatten(F.transform("base", lambda s: _beside(F.col("_text"), s, entity(s))))
-    near = F.when(F.size("base") > 0, F.array_distinct(near))
-    return step.select("doc_id", "text_hash", "base", near.alias("near"))
+def terms_beside(found: DataFrame) -> DataFrame:
+    """doc_id, text_hash, entity, term (a hash), start and stop for each term beside an entity."""
+    sides = found.where("size(base) > 0").select("doc_id", "text_hash", F.explode("sides").alias("s")).select("doc_id", "text_hash", "s.*")
+    words = sides.select("*", F.posexplode(F.split("part", " ")).alias("k", "w"), F.size(F.split("part", " ")).alias("n"))
+    far = F.when(F.col("before"), F.col("n") - 1 - F.col("k")).otherwise(F.col("k"))
+    halved = F.col("cut") & F.when(F.col("before"), F.col("k") == 0).otherwise(F.col("k") == F.col("n") - 1)
+    words = words.where((far <= BESIDE) & ~halved)
+    ahead = F.length(F.expr("substring_index(part, ' ', k)")) + F.when(F.col("k") > 0, 1).otherwise(0)
+    words = words.withColumn("at", F.col("at") + ahead)
+    # a term is three letters or more, without the punctuation around it
+    words = words.withColumn("term", F.regexp_extract("w", r"^[^\p{L}\p{N}]*+([\p{L}'-]{3,})[^\p{L}\p{N}]*+$", 1))
+    lead = F.length(F.regexp_extract("w", r"^([^\p{L}\p{N}]*+)", 1))
+    words = words.where("term <> ''").withColumn("start", F.col("at") + lead)
+    stop = F.col("start") + F.length("term")
+    return words.select("doc_id", "text_hash", "entity", F.xxhash64(F.lower("term")).alias("term"), "start", stop.alias("stop"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -153,11 +139,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term) for each term that discloses an entity it stands beside."""
     total = found.count()
-    near = found.where("size(base) > 0").select("doc_id", "text_hash", F.explode("near").alias("x"))
-    near = near.select("doc_id", "text_hash", "x.entity", "x.term").distinct()
+    near = near.select("doc_id", "text_hash", "entity", "term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("text_hash").alias("texts"))
     pairs = materialise(pairs.where(F.col("texts") >= EVIDENCE), "sanitise-pairs")
     entities = near.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -172,13 +157,12 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and all (arrays of spans) for each row of docs."""
     found = materialise(find_entities(docs), "sanitise-entities")
-    telling = disclosing(found, docs)
-    near = found.where("size(base) > 0").select("doc_id", "text_hash", F.explode("near").alias("x"))
-    terms = near.select("doc_id", "text_hash", "x.*").distinct().join(telling, ["entity", "term"])
+    near = materialise(terms_beside(found), "sanitise-terms")
+    terms = near.join(disclosing(found, near, docs), ["entity", "term"])
     spans = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("stop"))
     terms = terms.select(F.struct("doc_id", "text_hash").alias("_key"), spans.alias("s"))
     terms = terms.groupBy("_key").agg(F.collect_set("s").alias("terms"))
-    joined = found.drop("near").withColumn("_key", F.struct("doc_id", "text_hash")).join(terms, "_key", "left").drop("_key")
+    joined = found.drop("sides").withColumn("_key", F.struct("doc_id", "text_hash")).join(terms, "_key", "left").drop("_key")
     # a term inside a base span is covered already
     own = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     whole = F.sort_array(F.concat("base", F.coalesce(own, F.expr("cast(array() as array<struct<start: int, kind: int, stop: int>>)"))))
