@@ -47,6 +47,15 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadwell.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    return identify(docs, train(docs.where("NOT held_out")), ["doc_id", "held_out"])
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadwell.llm.sanitise import digest, find_spans
 
@@ -67,6 +76,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadwell.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -76,9 +91,11 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
         "op5_repeats": op5_repeats,
+        "op6_language": op6_language,
         "op7_personal_data": op7_personal_data,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
+        "op10_main_text": op10_main_text,
         "pipeline": corpus_pipeline.run,
     }
 
