@@ -85,7 +85,7 @@ def text_segments(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, key, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for lo in range(0, len(raw) - LENGTH + 1, PART - LENGTH):
+                for lo in range(0, len(raw) - LENGTH + 1, PART - LENGTH + 1):
                     part = raw[lo : lo + PART]
                     if len(part) < LENGTH:
                         break
