@@ -173,6 +173,9 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     rates = estimate(materialise(patterns, "quality-patterns").coalesce(1))
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
-    voted = measure(held, ["_row"]).select("_row", base_failed().alias("_failed"), votes().alias("votes"))
-    kept = voted.where(~F.col("_failed") & (posterior(rates) >= 0.5))
+    voted = measure(held, ["_row"]).select(
+        "_row", base_failed().alias("_failed"), votes().alias("votes"), F.monotonically_increasing_id().alias("_at")
+    )
+    # a filter that looks at _at stays above the counts; pushed below them it would make each of them many times
+    kept = voted.where(~F.col("_failed") & (posterior(rates) >= 0.5) & (F.col("_at") >= 0))
     return kept.select(*[F.col("_row")[c].alias(c) for c in names])
