@@ -15,10 +15,13 @@ def three_decimals(x: Column) -> Column:
     whole = F.floor(x)
     scaled = (x - whole) * F.lit(float(1 << 52))
     units = F.floor(scaled)
-    product = units * 1000
+    # numbers below 1 have digits beyond those units
+    beyond = (scaled - units) * 1000
+    extra = F.floor(beyond)
+    product = units * 1000 + extra
     down = F.shiftright(product, 52)
     rest = product - F.shiftleft(down, 52)
     half = F.lit(1 << 51)
-    more = (rest > half) | ((rest == half) & ((scaled > units) | (down % 2 == 1)))
+    more = (rest > half) | ((rest == half) & ((beyond > extra) | (down % 2 == 1)))
     total = whole * 1000 + down + F.when(more, 1).otherwise(0)
     return F.format_string("%d.%03d", F.floor(total / 1000), total % 1000)
