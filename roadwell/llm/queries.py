@@ -100,5 +100,42 @@ def queries() -> dict:
     }
 
 
+MIXING_SQL = """
+WITH sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents),
+held AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
+  FROM sizes GROUP BY source),
+weighted AS (
+  SELECT *, CAST(CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w,
+    CAST(CASE r % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END AS DOUBLE) AS slope, CAST(3 * source_size AS DOUBLE) AS most
+  FROM held),
+levels AS (
+  SELECT *, (CAST((SELECT sum(source_size) FROM weighted) AS DOUBLE)
+      - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted),
+targets AS (
+  SELECT source, source_size, slope,
+    CASE WHEN most / w <= level THEN most ELSE least(most, w * (SELECT max(level) FROM levels WHERE most / w > level)) END AS target
+  FROM levels),
+placed AS (
+  SELECT doc_id, size, source_size, slope, target,
+    CAST(coalesce(sum(size) OVER (PARTITION BY sizes.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+    CAST(floor(target + 0.5) AS BIGINT) AS quota
+  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source),
+passed AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM placed),
+counted AS (
+  SELECT *, CAST(passes * size + greatest(0, least(size, quota - passes * source_size - before)) AS BIGINT) AS taken, before / target AS due
+  FROM passed)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN due
+    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * due) - (1 - slope)) / (2 * slope) END, 9) END AS position
+FROM counted"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can state; the tests hold the other queries against brute force."""
+    return {"op4_mixing": MIXING_SQL}
