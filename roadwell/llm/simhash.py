@@ -81,7 +81,6 @@ def within(queries: np.ndarray, members: np.ndarray, radius: int, block: int = 6
     Two carry-save planes hold each distance modulo four and a third whether it ever got there.
     """
     found_q, found_m = [], []
-    limit = 2 if radius < 3 else 3
     for lo in range(0, len(members), 8 * block):
         vertical = planes(members[lo : lo + 8 * block])
         for q0 in range(0, len(queries), 256):
@@ -111,7 +110,6 @@ def within(queries: np.ndarray, members: np.ndarray, radius: int, block: int = 6
                 q, m = np.nonzero(hits)
                 found_q.append(alive[q])
                 found_m.append(m + lo)
-    assert limit
     if not found_q:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(found_q), np.concatenate(found_m)
@@ -278,7 +276,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, radius: int = 2, width: int = 5) -> DataFrame:
+def first_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """docs without all but one row of each group of near-duplicates: the one of the smallest doc_id.
 
     A row whose doc_id is null stays: no group has it as its first.  Of rows that share the
@@ -287,4 +285,5 @@ def first_of_each(docs: DataFrame, radius: int = 2, width: int = 5) -> DataFrame
     found = near_duplicates(docs, radius, width).distinct()
     firsts = found.where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("_first"))
     kept = docs.join(firsts.distinct(), docs["doc_id"] == F.col("_first"), "left_semi")
-    return kept.dropDuplicates().unionByName(docs.where("doc_id IS NULL"))
+    # the join has dealt rows out by doc_id, which serves here too
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
