@@ -151,7 +151,11 @@ def test_crop_keeps_ties(spark):
     assert crop(2) == [1, 2, 3, 4] and crop(0) == crop(99) == list(range(6))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    from roadwell.operators import components
+
+    monkeypatch.setattr(components, "LOCAL", most)
     rnd = random.Random(1)
     arcs = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(45)]
     reach = {a: {a} for a in range(30)}

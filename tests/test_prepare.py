@@ -117,7 +117,7 @@ def test_grid_end_to_end(spark, tmp_path, kind):
                     heapq.heappush(heap, (d + (metres(m, n) if metric == "weighted" else 1), f, m))
         scenario = out.pool.selectExpr("0 AS scenario", "pool_idx AS pos", "pool_idx")
         origins = out.nodes.selectExpr("node AS qidx", "node")
-        got = nearest_facility(out.arcs, out.pool.select("pool_idx", "node"), scenario, origins, metric).collect()
+        got = nearest_facility(out.arcs, out.pool.select("pool_idx", "node"), scenario, origins, metric, "scenario").collect()
         assert {old[r.node]: (r.dist, r.pool_idx) for r in got} == best
 
 
