@@ -105,9 +105,10 @@ def merge_round(bins: DataFrame, groups: int, turn: int, size: int) -> DataFrame
     """(bin, target, shift, fill): where each bin goes when groups tasks pack them anew."""
 
     def pack(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         ids, lengths = table.column(0).to_pylist(), table.column(1).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (-lengths[i], ids[i]))
         ids, lengths = [ids[i] for i in order], [lengths[i] for i in order]
