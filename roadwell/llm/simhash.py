@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadwell.llm import shingles
 from roadwell.llm.shared import materialise, ship, whole_text
 
 #: Members of a bucket that one task compares with each other.
@@ -276,14 +277,28 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+def first_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of near-duplicates: the one of the smallest doc_id.
 
-    A row whose doc_id is null stays: no group has it as its first.  Of rows that share the
-    smallest doc_id one stays for each different text.
+    Texts are linked where their sets of five-word shingles have a Jaccard similarity of 0.8 or more,
+    not by their fingerprints: no radius holds all such pairs.  A row whose doc_id is null links like
+    any other and stays.  Of rows that share the smallest doc_id one stays for each different text.
     """
-    found = near_duplicates(docs, radius, width).distinct()
-    firsts = found.where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("_first"))
-    kept = docs.join(firsts.distinct(), docs["doc_id"] == F.col("_first"), "left_semi")
-    # the join has dealt rows out by doc_id, which serves here too
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", whole_text()))
+    marked = materialise(shingles.add_sketches(rows, ["doc_id", "_row"]), "near-sketches")
+    texts = marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("_row").alias("_row"), F.any_value("bands").alias("bands"))
+    texts = materialise(texts, "near-texts")
+    stars = materialise(components(shingles.candidates(texts)), "near-candidates")
+    crowds = stars.groupBy("label").count().where(F.col("count") > shingles.BLOCK)
+    pieces = F.coalesce(F.ceil(F.col("count") / shingles.BLOCK), F.lit(1)).cast("int")
+    placed = stars.join(F.broadcast(crowds), "label", "left").select(F.col("node").alias("key"), "label", pieces.alias("pieces"))
+    placed = placed.join(texts.select("key", "_row"), "key")
+    held = rows.select("_row", "text").join(placed, "_row").dropDuplicates(["_row"])
+    groups = materialise(components(shingles.alike(held)), "near-groups")
+    labels = texts.select("key", "first").join(groups, texts["key"] == groups["node"], "left")
+    labels = labels.select("key", "first", F.coalesce("label", "key").alias("label"))
+    ids = labels.groupBy("label").agg(F.min("first").alias("first"))
+    named = labels.select("key", "label").join(ids, "label").select("key", "first")
+    firsts = marked.join(named, "key").where("doc_id = first").select("_row").distinct()
+    kept = rows.where("doc_id IS NOT NULL").join(firsts, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

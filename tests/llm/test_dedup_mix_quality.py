@@ -106,6 +106,37 @@ def test_one_of_each_group_stays(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_copies_go_at_jaccard_of_five_words(spark, monkeypatch, block):
+    """Every pair of texts at 0.8 or more is linked, and no other, as by brute force."""
+    monkeypatch.setattr(simhash.shingles, "BLOCK", block)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefg") for _ in range(6))
+    texts = [None, " ", "Hello there", "hello  there", "a b c d", "a b c e"]
+    for _ in range(40):
+        base = [word() for _ in range(rnd.randint(20, 200))]
+        texts.append(" ".join(base))
+        for _ in range(rnd.choice([1, 2, 9])):
+            some = list(base)
+            for _ in range(rnd.randint(1, 5)):
+                some[rnd.randrange(len(some))] = word()
+            texts.append(" ".join(some))
+
+    def held(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, label = [held(t) for t in texts], list(range(len(texts)))
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    far = [1 for i, j in alike if (fingerprint(texts[i], 3) ^ fingerprint(texts[j], 3)).bit_count() > 2]
+    assert len(far) > 40
+    kept = simhash.first_of_each(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
 def test_simhash_query_of_the_smallest_tables(spark):
     assert op3_simhash(spark, "/root/testdata/sf0.001").count() == 200
 
