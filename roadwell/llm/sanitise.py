@@ -1,18 +1,18 @@
 """Operator 7: personal data, with information-theoretic sanitisation.
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers: the protected
-entities.  Terms near an entity may give it away although they match no pattern.  How much a term
-t discloses of an entity e is their pointwise mutual information over the corpus, against the
-information of e itself:
+entities.  Terms of an entity's documents may give it away although they match no pattern.  How much
+a term t discloses of an entity e is their pointwise mutual information over the corpus's documents,
+against the information of e itself:
 
     PMI(e; t) = log2(P(e, t) / (P(e) P(t))),   IC(e) = -log2 P(e).
 
-A term that never occurs without e has PMI = IC.  Terms beside e whose PMI reaches ``DISCLOSURE``
-times IC, which have e at hand in at least half of their documents and in at least ``EVIDENCE``
-different texts, are generalised where they stand beside e.
+A term that never occurs without e has PMI = IC.  Terms whose PMI with an entity reaches ``DISCLOSURE``
+times IC, which have e in at least half of their documents and in at least ``EVIDENCE`` different texts,
+are generalised wherever they occur, also in documents without e.
 
-All of it is DataFrame functions.  Texts are read where they lie; the counts of pairs and of terms
-are combined before they are shuffled, as hashes.
+All of it is DataFrame functions.  Texts are read where they lie; equal texts count pairs once, for all
+their rows; the counts of pairs and of terms are combined before they are shuffled, as hashes.
 
 Defined results: a null text is empty and has no spans; a null doc_id keeps its row; repeated rows
 each keep their row and count as one text of evidence; other columns pass through
@@ -28,8 +28,9 @@ from roadwell.llm.shared import materialise, only_spaces_apart, whole_text
 
 DISCLOSURE = 0.9
 EVIDENCE = 3
-#: Code points and words on each side of an entity in which terms count as beside it.
-REACH, BESIDE = 120, 8
+#: A word that is a term: three letters or more, without the punctuation around it.
+TERM = r"^[^\p{L}\p{N}]*+([\p{L}'-]{3,})[^\p{L}\p{N}]*+$"
+NO_SPANS = "cast(array() as array<struct<start: int, kind: int, stop: int>>)"
 KINDS = ("email", "ip", "card", "phone", "term")
 
 #: The base patterns, written so that no start is tried twice: a match may begin where the one
@@ -94,78 +95,89 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
+def _split(text: Column) -> Column:
+    return F.split(only_spaces_apart(text), " ")
+
+
+def _term(word: Column) -> Column:
+    """The word's term, empty where it has none."""
+    return F.regexp_extract(word, TERM, 1)
+
+
+def _hash(term: Column) -> Column:
+    return F.xxhash64(F.lower(term))
+
+
+def terms(text: Column) -> Column:
+    """The hashes of a text's different terms."""
+    found = F.filter(F.transform(F.array_distinct(_split(text)), _term), lambda t: t != "")
+    return F.array_distinct(F.transform(found, _hash))
+
+
 def find_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's hash, its base spans and the parts of the text on both sides of each."""
+    """doc_id, the text's hash, its base spans and the hashes of its different entities."""
     step = docs.select("doc_id", whole_text().alias("_text"))
     step = step.select("doc_id", F.xxhash64("_text").alias("text_hash"), base_spans(F.col("_text")).alias("base"), "_text")
-    long = F.length("_text")
-
-    def sides(s):
-        name = F.concat(s["kind"].cast("string"), F.lower(F.substring("_text", s["start"] + 1, s["stop"] - s["start"])))
-        begin = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substring("_text", begin + 1, s["start"] - begin)
-        right = F.substring("_text", s["stop"] + 1, F.lit(REACH))
-        side = lambda at, part, cut, before: F.struct(
-            F.xxhash64(name).alias("entity"), at.alias("at"), only_spaces_apart(part).alias("part"),
-            cut.alias("cut"), F.lit(before).alias("before"),
-        )
-        return F.array(side(begin, left, begin > 0, True), side(s["stop"], right, s["stop"] + REACH < long, False))
-
-    parts = F.when(F.size("base") > 0, F.flatten(F.transform("base", sides)))
-    return step.select("doc_id", "text_hash", "base", parts.alias("sides"))
-
-
-def terms_beside(found: DataFrame) -> DataFrame:
-    """doc_id, text_hash, entity, term (a hash), start and stop for each term beside an entity."""
-    sides = found.where("size(base) > 0").select("doc_id", "text_hash", F.explode("sides").alias("s")).select("doc_id", "text_hash", "s.*")
-    words = sides.select("*", F.posexplode(F.split("part", " ")).alias("k", "w"), F.size(F.split("part", " ")).alias("n"))
-    far = F.when(F.col("before"), F.col("n") - 1 - F.col("k")).otherwise(F.col("k"))
-    halved = F.col("cut") & F.when(F.col("before"), F.col("k") == 0).otherwise(F.col("k") == F.col("n") - 1)
-    words = words.where((far <= BESIDE) & ~halved)
-    ahead = F.length(F.expr("substring_index(part, ' ', k)")) + F.when(F.col("k") > 0, 1).otherwise(0)
-    words = words.withColumn("at", F.col("at") + ahead)
-    # a term is three letters or more, without the punctuation around it
-    words = words.withColumn("term", F.regexp_extract("w", r"^[^\p{L}\p{N}]*+([\p{L}'-]{3,})[^\p{L}\p{N}]*+$", 1))
-    lead = F.length(F.regexp_extract("w", r"^([^\p{L}\p{N}]*+)", 1))
-    words = words.where("term <> ''").withColumn("start", F.col("at") + lead)
-    stop = F.col("start") + F.length("term")
-    return words.select("doc_id", "text_hash", "entity", F.xxhash64(F.lower("term")).alias("term"), "start", stop.alias("stop"))
+
+    def entity(s):
+        return F.xxhash64(F.concat(s["kind"].cast("string"), F.lower(F.substring("_text", s["start"] + 1, s["stop"] - s["start"]))))
+
+    return step.select("doc_id", "text_hash", "base", F.array_distinct(F.transform("base", entity)).alias("entities"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(term, n): in how many documents each term of the corpus stands."""
-    words = F.split(F.regexp_replace(F.lower(only_spaces_apart(whole_text())), r"[^\p{L}' -]++", " "), " ")
-    terms = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(terms(whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term) for each term that discloses an entity it stands beside."""
+def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The terms that disclose an entity of their documents."""
     total = found.count()
-    near = near.select("doc_id", "text_hash", "entity", "term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("text_hash").alias("texts"))
+    held = found.where("size(entities) > 0").groupBy("text_hash").agg(F.count("*").alias("rows"), F.any_value("entities").alias("entities"))
+    held = held.select("text_hash", "rows", F.explode("entities").alias("entity"))
+    # an entity of fewer texts has no term with enough of them
+    known = held.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("texts"))
+    known = materialise(known.where(F.col("texts") >= EVIDENCE).drop("texts"), "sanitise-known")
+    held = held.join(known.select("entity"), "entity").groupBy("text_hash", "rows").agg(F.collect_list("entity").alias("entities"))
+    texts = docs.select(whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(held, "text_hash").groupBy("text_hash", "rows", "entities").agg(F.any_value("text").alias("text"))
+    pairs = texts.select("rows", "entities", F.explode(terms(F.col("text"))).alias("term")).select("rows", "term", F.explode("entities").alias("entity"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts"))
     pairs = materialise(pairs.where(F.col("texts") >= EVIDENCE), "sanitise-pairs")
-    entities = near.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counted = pairs.join(term_counts(docs), "term").join(entities, "entity")
-    counted = counted.withColumn("n", F.greatest("n", "both"))
+    counted = pairs.join(term_counts(docs), "term").join(known, "entity")
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n")))
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     told = (information > 0) & (pmi >= DISCLOSURE * information) & (2 * F.col("both") >= F.col("n"))
-    return counted.where(told).select("entity", "term")
+    return counted.where(told).select("term").distinct()
+
+
+def _term_spans(text: Column, told: Column) -> Column:
+    """Spans of every occurrence of the told terms."""
+
+    def add(state, word):
+        term = _term(word)
+        start = state["at"] + F.length(F.regexp_extract(word, r"^([^\p{L}\p{N}]*+)", 1))
+        span = F.array(F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(term)).alias("stop")))
+        hit = (term != "") & F.array_contains(told, _hash(term))
+        spans = F.when(hit, F.concat(state["spans"], span)).otherwise(state["spans"])
+        return F.struct((state["at"] + F.length(word) + 1).alias("at"), spans.alias("spans"))
+
+    return F.aggregate(_split(text), F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("spans")), add, lambda state: state["spans"])
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and all (arrays of spans) for each row of docs."""
     found = materialise(find_entities(docs), "sanitise-entities")
-    near = materialise(terms_beside(found), "sanitise-terms")
-    terms = near.join(disclosing(found, near, docs), ["entity", "term"])
-    spans = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("stop"))
-    terms = terms.select(F.struct("doc_id", "text_hash").alias("_key"), spans.alias("s"))
-    terms = terms.groupBy("_key").agg(F.collect_set("s").alias("terms"))
-    joined = found.drop("sides").withColumn("_key", F.struct("doc_id", "text_hash")).join(terms, "_key", "left").drop("_key")
+    told = materialise(disclosing(found, docs), "sanitise-told")
+    # texts that hold such a term, each once, and then its places in them
+    texts = docs.select(whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    hits = texts.select("text_hash", F.explode(terms(F.col("text"))).alias("term")).join(told, "term")
+    hits = materialise(hits.groupBy("text_hash").agg(F.collect_set("term").alias("told")), "sanitise-hits")
+    placed = texts.join(hits, "text_hash").select("text_hash", _term_spans(F.col("text"), F.col("told")).alias("terms"))
+    joined = found.drop("entities").join(placed.dropDuplicates(["text_hash"]), "text_hash", "left")
     # a term inside a base span is covered already
     own = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    whole = F.sort_array(F.concat("base", F.coalesce(own, F.expr("cast(array() as array<struct<start: int, kind: int, stop: int>>)"))))
+    whole = F.sort_array(F.concat("base", F.coalesce(own, F.expr(NO_SPANS))))
     return joined.select("doc_id", "text_hash", "base", whole.alias("all"))
 
 

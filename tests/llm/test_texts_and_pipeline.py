@@ -71,6 +71,19 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(clean[i] == texts[i] for i in range(5, 45))
 
 
+def test_terms_far_from_their_entity(spark):
+    """A term counts over whole documents and goes wherever it stands, also where its entity does not."""
+    rnd = random.Random(3)
+    filler = lambda n: " ".join(rnd.choice(["the", "of", "and", "to", "in"]) for _ in range(n))
+    texts = [f"(Quimbel) {filler(60)} {i}x {filler(60)} quimbel, {filler(60)} ann@x.org" for i in range(5)]
+    texts += [f"{filler(30)} QUIMBEL {filler(5)}"] + [f"{filler(30)} common {i}" for i in range(40)]
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(docs(spark, texts)).collect()}
+    for i in range(5):
+        assert clean[i] == texts[i].replace("Quimbel", "[TERM]").replace("quimbel", "[TERM]").replace("ann@x.org", "[EMAIL]")
+    assert clean[5] == texts[5].replace("QUIMBEL", "[TERM]")
+    assert all(clean[i] == texts[i] for i in range(6, len(texts)))
+
+
 def test_sanitise_keeps_the_rest(spark):
     texts = ["é a@b.co 1.2.3.4 end", None, "", "+1 555 000 1111", "4111111111111111"]
     frame = docs(spark, texts)
