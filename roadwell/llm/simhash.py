@@ -282,11 +282,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
     Texts are linked where their sets of five-word shingles have a Jaccard similarity of 0.8 or more,
     not by their fingerprints: no radius holds all such pairs.  A row whose doc_id is null links like
-    any other and stays.  Of rows that share the smallest doc_id one stays for each different text.
+    any other and stays.  Of different texts that share the smallest doc_id the one of the least hash stays.
     """
     rows = docs.withColumn("_row", F.xxhash64("doc_id", whole_text()))
     marked = materialise(shingles.add_sketches(rows, ["doc_id", "_row"]), "near-sketches")
-    texts = marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("_row").alias("_row"), F.any_value("bands").alias("bands"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))
+    texts = marked.groupBy("key").agg(first.alias("first"), F.min("_row").alias("_row"), F.any_value("bands").alias("bands"))
     texts = materialise(texts, "near-texts")
     stars = materialise(components(shingles.candidates(texts)), "near-candidates")
     crowds = stars.groupBy("label").count().where(F.col("count") > shingles.BLOCK)
@@ -296,9 +297,6 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     held = rows.select("_row", "text").join(placed, "_row").dropDuplicates(["_row"])
     groups = materialise(components(shingles.alike(held)), "near-groups")
     labels = texts.select("key", "first").join(groups, texts["key"] == groups["node"], "left")
-    labels = labels.select("key", "first", F.coalesce("label", "key").alias("label"))
-    ids = labels.groupBy("label").agg(F.min("first").alias("first"))
-    named = labels.select("key", "label").join(ids, "label").select("key", "first")
-    firsts = marked.join(named, "key").where("doc_id = first").select("_row").distinct()
+    firsts = labels.groupBy(F.coalesce("label", "key")).agg(F.min("first").alias("first")).where("first IS NOT NULL").select("first._row")
     kept = rows.where("doc_id IS NOT NULL").join(firsts, "_row", "left_semi").dropDuplicates(["_row"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -137,6 +137,16 @@ def test_near_copies_go_at_jaccard_of_five_words(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_one_row_of_a_group_stays_where_ids_repeat(spark):
+    base = [f"word{k}" for k in range(80)]
+    near = " ".join(["other", *base[1:]])
+    other = "quite another text that stays as it is"
+    rows = [(3, " ".join(base), "a"), (3, near, "a"), (3, " ".join(base).upper(), "a"), (1, other, "a"), (3, other, "a")]
+    kept = simhash.first_of_each(docs(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
+    assert [r.text for r in kept if r.doc_id == 1] == [other] and [r.text for r in kept if r.doc_id == 3] != [other]
+
+
 def test_simhash_query_of_the_smallest_tables(spark):
     assert op3_simhash(spark, "/root/testdata/sf0.001").count() == 200
 
