@@ -32,15 +32,30 @@ def write_bytes(path: str, chunks) -> None:
             out.write(chunk)
 
 
-def map_array(path: str, dtype) -> np.ndarray:
-    """The file as an array: memory-mapped where it is local, else read."""
-    local = _local(path)
-    if local is not None:
-        if os.path.getsize(local) == 0:
-            return np.empty(0, dtype)
-        return np.memmap(local, dtype, "r")
-    from pyarrow import fs
+class Remote:
+    """The numbers of a file in a store that is no folder; a slice reads its own bytes alone."""
 
-    store, inner = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(inner) as f:
-        return np.frombuffer(f.read(), dtype)
+    def __init__(self, path: str, dtype):
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        self.file, self.dtype = store.open_input_file(inner), np.dtype(dtype)
+        self.size = self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        lo, hi, _ = part.indices(self.size)
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(max(0, hi - lo) * width, lo * width), self.dtype)
+
+
+def map_array(path: str, dtype) -> np.ndarray | Remote:
+    """The file's numbers, to be taken by slices: mapped into memory where it is local, else read by ranges."""
+    local = _local(path)
+    if local is None:
+        return Remote(path, dtype)
+    if os.path.getsize(local) == 0:
+        return np.empty(0, dtype)
+    return np.memmap(local, dtype, "r")

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from roadwell.llm.files import map_array, write_bytes
 from roadwell.llm.shared import materialise, ship, whole_text
 
+#: Ids that a reader looks at together.
+BLOCK = 1 << 21
 MANIFEST = "partition int, docs long, nulls long, tokens long, wide boolean, stem string"
 
 
@@ -37,26 +39,25 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     def write(batches):
         from pyspark import TaskContext
 
-        from roadwell.llm.token_cache import encoder
+        from roadwell.llm.token_cache import encoder, runs_of
 
         encode = encoder(vocabulary)
         stem = f"{folder}/{uuid.uuid4().hex}"
-        ids, lengths, nulls = [], [], 0
+        ids, lengths, nulls = [], [np.empty(0, np.int64)], 0
 
         def chunks():
             nonlocal nulls
             for batch in batches:
                 ids.append(np.asarray(batch.column(0).fill_null(0)).astype("<i8"))
                 nulls += batch.column(0).null_count
-                texts = batch.column(1).to_pylist()
-                for at in range(0, len(texts), 256):
-                    for found in encode.ids(texts[at : at + 256]):
-                        lengths.append(len(found) + 1)
-                        yield found.tobytes()
-                        yield np.array([end_id], encode.dtype).tobytes()
+                for texts in runs_of(batch.column(1).to_pylist()):
+                    found, counts = encode.flat(texts)
+                    lengths.append(counts + 1)
+                    yield np.insert(found, np.cumsum(counts), end_id).astype(encode.dtype)
 
         write_bytes(f"{stem}.bin", chunks())
-        if not lengths:
+        lengths = np.concatenate(lengths)
+        if not len(lengths):
             return
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
         write_bytes(f"{stem}.off", [offsets.tobytes()])
@@ -104,11 +105,15 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 tokens = map_array(f"{row['stem']}.bin", "<u4" if row["wide"] else "<u2")
-                offsets = np.asarray(map_array(f"{row['stem']}.off", "<i8"))
-                docs = np.asarray(map_array(f"{row['stem']}.doc", "<i8"))
-                for lo in range(0, len(docs), 10_000):
-                    hi = min(lo + 10_000, len(docs))
-                    crc = [zlib.crc32(tokens[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(lo, hi)]
+                offsets = np.asarray(map_array(f"{row['stem']}.off", "<i8")[:])
+                docs = np.asarray(map_array(f"{row['stem']}.doc", "<i8")[:])
+                lo = 0
+                while lo < len(docs):
+                    # documents of about BLOCK ids at once, one at least
+                    hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
+                    block = memoryview(np.asarray(tokens[int(offsets[lo]) : int(offsets[hi])]).astype("<u4")).cast("B")
+                    ends = (4 * (offsets[lo : hi + 1] - offsets[lo])).tolist()
+                    crc = [zlib.crc32(block[a:b]) for a, b in zip(ends, ends[1:])]
                     known = np.arange(lo, hi) >= row["nulls"]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -119,5 +124,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
+                    lo = hi
 
     return manifest.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
