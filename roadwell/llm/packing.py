@@ -12,6 +12,7 @@ itself; a null doc_id stays null; other columns are ignored; an empty table give
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def local_bins(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> Data
     def pack(batches):
         from pyspark import TaskContext
 
-        from roadwell.llm.token_cache import encoder
+        from roadwell.llm.token_cache import encoder, runs_of
 
         encode = encoder(vocabulary)
         first = TaskContext.get().partitionId() << 40
@@ -85,13 +86,16 @@ def local_bins(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> Data
 
         names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc, found in zip(ids[at : at + 256], encode.ids(texts[at : at + 256])):
-                    raw = np.append(found.astype("<u4"), np.uint32(end_id)).astype("<u4").tobytes()
-                    for piece in range(-(-len(raw) // (4 * size))):
-                        part = raw[4 * size * piece : 4 * size * (piece + 1)]
-                        rows.append((doc, piece, size * piece, len(part) // 4, zlib.crc32(part)))
+            ids = iter(batch.column(0).to_pylist())
+            for texts in runs_of(batch.column(1).to_pylist()):
+                found, counts = encode.flat(texts)
+                held = memoryview(np.insert(found.astype("<u4"), np.cumsum(counts), end_id).astype("<u4")).cast("B")
+                at = 0
+                for doc, n in zip(islice(ids, len(texts)), (counts + 1).tolist()):
+                    for piece, start in enumerate(range(0, n, size)):
+                        length = min(size, n - start)
+                        rows.append((doc, piece, start, length, zlib.crc32(held[at + 4 * start : at + 4 * (start + length)])))
+                    at += 4 * n
                 if len(rows) >= HELD:
                     yield flush()
         if rows:
