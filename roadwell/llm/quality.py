@@ -1,12 +1,18 @@
 """Operator 9: quality rules under weak supervision.
 
-Rules look at a text's counts and vote for it (+1), against it (-1) or abstain (0).
-Expectation-maximisation over the table of vote patterns estimates how often each rule votes each
-way on good and on bad texts, and a text stays where its posterior probability of being good is at
-least one half.  Texts that fail the base rules go whatever the votes.
+Rules look at a text's counts and each votes: against it, mildly against it, for it, or it abstains.
+A bad text as a rule has one fault, which one rule sees while the others speak for it; votes are
+independent only among texts with the same fault.  So the model has a class of good texts and one
+class for each rule's fault.  Expectation-maximisation over the table of vote patterns estimates how
+often each rule votes each way in each class, starting from rules that are all taken to be equally
+accurate; what they are taken for counts as ``TRUST`` times all texts.  A text stays where its
+posterior probability of being good is at least one half: a mild vote against it is overruled where
+the estimation finds that such votes meet good texts, and one vote against six may reject it.  Texts
+that fail the base rules go whatever the votes.
 
 All of it is DataFrame functions.  A text is read once; its counts are written, and each round of
-the estimation is one aggregation over at most 2 ** 8 vote patterns.
+the estimation is one aggregation over the vote patterns, at most 4 ** 7 of them, whose posteriors
+are then looked up.
 
 Defined results: a null or blank text has no words and fails; repeated rows each keep their row;
 other columns pass through ``filter_quality``; an empty table gives an empty result.
@@ -24,8 +30,6 @@ from roadwell.llm.shared import materialise, only_spaces_apart, whole_text, with
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 ROUNDS = 40
-#: What each rate counts besides what it has seen; keeps it off 0 and 1.
-SMOOTH = 0.5
 
 
 def _count_of(characters: str) -> Column:
@@ -90,92 +94,126 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def rules() -> dict[str, Column]:
-    """Each rule's vote.
-
-    A fault shows in one rule and leaves the others as they are, so a rule that sees none abstains;
-    only the rule that looks at all counts together speaks for a text.
-    """
+def rules() -> dict[str, tuple[Column, Column, Column]]:
+    """For each rule when it votes against a text, when mildly against it, and when for it; else it abstains."""
     n = F.col("n_words")
     mean = F.col("word_chars") / F.greatest(n, F.lit(1))
     per_hundred = lambda count, of=n: 100 * F.col(count) / F.greatest(of, F.lit(1))
     lines, repeats = per_hundred("n_dup_lines", F.col("n_lines")), per_hundred("n_repeat_words")
     symbols, exclaims, variety = per_hundred("n_symbols"), per_hundred("n_exclaims"), per_hundred("n_distinct")
-    against = {
-        "length": n < 20,
-        "repeats": repeats > 30,
-        "symbols": symbols > 15,
-        "word_length": (mean < 2) | (mean > 14),
-        "lines": (F.col("n_dup_lines") >= 3) & (lines > 30),
-        "exclaims": exclaims > 30,
-        "variety": (n >= 100) & (variety < 5),
+    some = n >= 20
+    return {
+        "length": (n < 20, F.lit(False), n >= 50),
+        "repeats": (repeats > 30, repeats > 10, some & (repeats <= 2)),
+        "symbols": (symbols > 15, symbols > 3, symbols <= 1),
+        "word_length": ((mean < 2.5) | (mean > 12), (mean < 3.5) | (mean > 9), mean.between(4, 7)),
+        "lines": ((F.col("n_dup_lines") >= 3) & (lines > 30), lines > 15, (F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 4)),
+        "exclaims": (exclaims > 30, exclaims > 5, exclaims <= 1),
+        "variety": (some & (variety < 25), some & (variety < 45), some & (variety >= 55)),
     }
-    votes = {name: F.when(fault, -1).otherwise(0) for name, fault in against.items()}
-    prose = mean.between(3, 10) & (symbols <= 5) & (exclaims <= 5) & (repeats <= 30) & (lines <= 30) & (n >= 20)
-    return votes | {"prose": F.when(prose, 1).otherwise(0)}
-
-
-def votes() -> Column:
-    """The votes of all rules as one array: rule k's vote v is 3 * k + v + 1."""
-    return F.array(*[(vote + 3 * k + 1).cast("int") for k, vote in enumerate(rules().values())])
-
-
-def posterior(rates: dict) -> Column:
-    """The probability that a text with the column votes is good.
 
-    The rates go in as one array, so every round runs the code that the first one compiled.
-    """
-    odds = [math.log(rates[r, 1, v] / rates[r, 0, v]) for r in rules() for v in (-1, 0, 1)]
-    held = F.array(*map(F.lit, odds))
-    prior = F.lit(math.log(rates["good"] / (1 - rates["good"])))
-    return 1 / (1 + F.exp(-F.aggregate("votes", prior, lambda total, v: total + F.get(held, v))))
 
-
-def estimate(patterns: DataFrame) -> dict:
+#: The votes by their number, and the chances of each that a rule is taken for at the start:
+#: on good texts, on texts with another rule's fault, on texts with its own.
+VOTES = ("against", "mildly against", "abstains", "for")
+ON_GOOD, ON_OTHER, ON_OWN = (0.01, 0.04, 0.25, 0.70), (0.03, 0.10, 0.27, 0.60), (0.80, 0.12, 0.05, 0.03)
+GOOD = 0.9
+TRUST = 0.01
+
+
+def pattern() -> Column:
+    """The votes of all rules as one number, two bits to a vote."""
+    total = F.lit(0)
+    for k, (against, mildly, favour) in enumerate(rules().values()):
+        vote = F.when(against, 0).when(mildly, 1).when(favour, 3).otherwise(2)
+        total = total + F.shiftleft(vote, 2 * k)
+    return total.cast("int")
+
+
+class Rates:
+    """The model: the share of each class and each rule's chances of each vote in it; class 0 is good."""
+
+    def __init__(self):
+        names = list(rules())
+        self.rules, self.classes = len(names), len(names) + 1
+        self.share = [GOOD] + [(1 - GOOD) / self.rules] * self.rules
+        self.chance = [[list(ON_GOOD)] * self.rules]
+        for fault in range(self.rules):
+            self.chance.append([list(ON_OWN if k == fault else ON_OTHER) for k in range(self.rules)])
+
+    def posteriors(self) -> Column:
+        """For a row with pattern the probability of each class.
+
+        The rates go in as one array, so every round runs the code that the first one compiled.
+        """
+        flat = [math.log(s) for s in self.share]
+        flat += [math.log(x) for own in self.chance for rule in own for x in rule]
+        held = F.array(*map(F.lit, flat))
+        vote = lambda k: F.expr("(shiftright(pattern, 2 * {0}) & 3)".format(k))
+        scores = []
+        for c in range(self.classes):
+            first = self.classes + 4 * self.rules * c
+            scores.append(F.get(held, F.lit(c)) + sum((F.get(held, vote(k) + first + 4 * k) for k in range(self.rules)), F.lit(0.0)))
+        scores = F.array(*scores)
+        weights = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+        total = F.aggregate(weights, F.lit(0.0), lambda t, w: t + w)
+        return F.transform(weights, lambda w: w / total)
+
+    def updated(self, patterns: DataFrame) -> Rates:
+        """The rates after one round; patterns: a row for each pattern with its count n."""
+        first = Rates()
+        each = patterns.select("n", self.posteriors().alias("g"), F.col("pattern"))
+        votes = F.expr(f"explode(transform(sequence(0, {self.rules - 1}), k -> 4 * k + (shiftright(pattern, 2 * k) & 3)))")
+        sums = each.select("n", "g", votes.alias("vote")).groupBy("vote")
+        sums = sums.agg(*[F.sum(F.col("n") * F.get("g", F.lit(c))).alias(f"c{c}") for c in range(self.classes)])
+        found = {row["vote"]: [row[f"c{c}"] for c in range(self.classes)] for row in sums.collect()}
+        nothing = [0.0] * self.classes
+        mass = [sum(found.get(v, nothing)[c] for v in range(4)) for c in range(self.classes)]
+        trust = TRUST * max(1.0, sum(mass))
+        new = Rates()
+        new.share = [(mass[c] + trust * first.share[c]) / (sum(mass) + trust) for c in range(self.classes)]
+        new.chance = [
+            [
+                [(found.get(4 * k + v, nothing)[c] + trust * first.chance[c][k][v]) / (mass[c] + trust) for v in range(4)]
+                for k in range(self.rules)
+            ]
+            for c in range(self.classes)
+        ]
+        return new
+
+    def apart(self, other: Rates) -> float:
+        pairs = zip(self.chance, other.chance)
+        return max(abs(x - y) for a, b in pairs for p, q in zip(a, b) for x, y in zip(p, q))
+
+
+def estimate(patterns: DataFrame) -> Rates:
     """Rates by expectation-maximisation; patterns: a row for each pattern of votes with its count n."""
-    names = list(rules())
-    # rules are made to be silent on good texts: at the start one vote against a text is enough
-    good = F.when(F.exists("votes", lambda v: v % 3 == 0), 0.02).otherwise(0.98)
-    rates: dict = {}
+    rates = Rates()
     for _ in range(ROUNDS):
-        before = dict(rates)
-        each = patterns.select("n", (posterior(rates) if rates else good).alias("g"), F.explode("votes").alias("vote"))
-        sums = each.groupBy("vote").agg(F.sum(F.col("n") * F.col("g")).alias("good"), F.sum("n").alias("all"))
-        found = {row["vote"]: (row["all"] - row["good"], row["good"]) for row in sums.collect()}
-        mass = [sum(found.get(v, (0.0, 0.0))[y] for v in range(3)) for y in (0, 1)]
-        rates["good"] = min(0.99, max(0.01, (mass[1] + SMOOTH) / (sum(mass) + 2 * SMOOTH)))
-        for k, r in enumerate(names):
-            for y in (0, 1):
-                for v in (-1, 0, 1):
-                    seen = found.get(3 * k + v + 1, (0.0, 0.0))[y]
-                    rates[r, y, v] = (seen + SMOOTH) / (mass[y] + 3 * SMOOTH)
-        if before and max(abs(rates[x] - before[x]) for x in rates) < 1e-4:
+        before, rates = rates, rates.updated(patterns)
+        if rates.apart(before) < 1e-3:
             break
     return rates
 
 
+def with_posterior(voted: DataFrame) -> DataFrame:
+    """voted with the posterior of its pattern; there are at most 4 ** 7 patterns."""
+    counts = materialise(voted.groupBy("pattern").agg(F.count("*").alias("n")), "quality-patterns").coalesce(1)
+    known = counts.select("pattern", F.get(estimate(counts).posteriors(), F.lit(0)).alias("posterior"))
+    return voted.join(F.broadcast(known), "pattern")
+
+
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep, the counts, the votes, base_failed, posterior and kept."""
-    voted = materialise(measure(docs, keep).withColumn("votes", votes()), "quality-votes")
-    patterns = voted.groupBy("votes").agg(F.count("*").alias("n"))
-    rates = estimate(materialise(patterns, "quality-patterns").coalesce(1))
-    judged = voted.withColumn("posterior", posterior(rates)).withColumn("base_failed", base_failed())
+    """The columns of keep, the counts, the pattern of votes, base_failed, posterior and kept."""
+    voted = materialise(measure(docs, keep).withColumn("pattern", pattern()), "quality-votes")
+    judged = with_posterior(voted).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept.
-
-    The verdict depends on the text alone, so it is found again for each row from the rates, and
-    no text is shuffled.
-    """
-    patterns = measure(docs, []).select(votes().alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))
-    rates = estimate(materialise(patterns, "quality-patterns").coalesce(1))
+    """The rows of docs that are kept.  Rows are written once with their votes; no text is shuffled."""
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
-    voted = measure(held, ["_row"]).select(
-        "_row", base_failed().alias("_failed"), votes().alias("votes"), F.monotonically_increasing_id().alias("_at")
-    )
-    # a filter that looks at _at stays above the counts; pushed below them it would make each of them many times
-    kept = voted.where(~F.col("_failed") & (posterior(rates) >= 0.5) & (F.col("_at") >= 0))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in names])
+    voted = measure(held, ["_row"]).select("_row", base_failed().alias("_failed"), pattern().alias("pattern"))
+    kept = with_posterior(materialise(voted, "quality-votes")).where(~F.col("_failed") & (F.col("posterior") >= 0.5))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
