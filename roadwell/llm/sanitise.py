@@ -1,18 +1,25 @@
 """Operator 7: personal data, with information-theoretic sanitisation.
 
-Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers: the protected
-entities.  Terms of an entity's documents may give it away although they match no pattern.  How much
-a term t discloses of an entity e is their pointwise mutual information over the corpus's documents,
-against the information of e itself:
+Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers.  What is protected
+are those values, that a text holds one of a kind, and that it holds any: the entities.  Terms of an
+entity's documents may give it away although they match no pattern.  How much a term t discloses of an
+entity e is their pointwise mutual information over the corpus's documents, against the information
+of e itself:
 
     PMI(e; t) = log2(P(e, t) / (P(e) P(t))),   IC(e) = -log2 P(e).
 
 A term that never occurs without e has PMI = IC.  Terms whose PMI with an entity reaches ``DISCLOSURE``
-times IC, which have e in at least half of their documents and in at least ``EVIDENCE`` different texts,
-are generalised wherever they occur, also in documents without e.
+times IC and which have e in at least half of their documents exceed the threshold, if that is more
+than chance: n documents of t of which a share p holds e, where the corpus has a share q, speak with
 
-All of it is DataFrame functions.  Texts are read where they lie; equal texts count pairs once, for all
-their rows; the counts of pairs and of terms are combined before they are shuffled, as hashes.
+    n * (p log2(p / q) + (1 - p) log2((1 - p) / (1 - q)))
+
+bits for it, and they must outweigh the number of pairs (e, t) there could be by ``CHANCE``.  Copies of
+one text speak once.  Such terms are generalised wherever they occur, also in documents without e.
+
+All of it is DataFrame functions.  A text's terms are its words between white space without the
+punctuation around them, in every step the same.  Counts of pairs and of terms are combined before
+they are shuffled, as hashes; texts are read where they lie.
 
 Defined results: a null text is empty and has no spans; a null doc_id keeps its row; repeated rows
 each keep their row and count as one text of evidence; other columns pass through
@@ -21,13 +28,20 @@ each keep their row and count as one text of evidence; other columns pass throug
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadwell.llm.shared import materialise, only_spaces_apart, whole_text
 
 DISCLOSURE = 0.9
-EVIDENCE = 3
+#: Terms that may be told wrongly over the whole corpus, on average.
+CHANCE = 0.01
+#: Told terms that are looked up in each text as a list; more of them are joined.
+LISTED = 10_000
+#: Values that the inner step of a running sum takes.
+RUN = 128
 #: A word that is a term: three letters or more, without the punctuation around it.
 TERM = r"^[^\p{L}\p{N}]*+([\p{L}'-]{3,})[^\p{L}\p{N}]*+$"
 NO_SPANS = "cast(array() as array<struct<start: int, kind: int, stop: int>>)"
@@ -61,21 +75,42 @@ def _is_card(match: Column) -> Column:
     return F.when(length.between(14, 19), _luhn(_digits(match))).otherwise(False)
 
 
+def _running(values: Column, step) -> Column:
+    """For each of an array's numbers what step (a sum, a maximum) makes of 0 and those before it.
+
+    Two levels: an array grows by at most RUN values where they are met and by one for each RUN of
+    them above, so long arrays take no square of their length.
+    """
+
+    def grow(state, value):
+        return F.struct(step(state["t"], value).alias("t"), F.concat(state["out"], F.array(state["t"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("t"), F.expr("cast(array() as array<int>)").alias("out"))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / RUN).cast("int") - 1, F.lit(0))),
+        lambda k: F.aggregate(F.slice(values, k * RUN + 1, RUN), start, grow),
+    )
+    bases = F.aggregate(runs, start, lambda state, run: grow(state, run["t"]), lambda state: state["out"])
+    return F.flatten(F.zip_with(runs, bases, lambda run, base: F.transform(run["out"], lambda v: step(base, v))))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _spans(text: Column, pattern: str, kind: int, valid, present: Column) -> Column:
     """Spans (start, kind, stop) of the pattern's valid matches, in code points from 0."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern)
-    steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    empty = F.expr("cast(array() as array<struct<start: int, kind: int, stop: int>>)")
+    gaps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    before = _running(F.transform(gaps, lambda g: g["gap"] + F.length(g["m"])), _add)
 
-    def add(state, step):
-        start = state["at"] + step["gap"]
-        stop = start + F.length(step["m"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(valid(step["m"]), F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def span(g, at):
+        start = at + g["gap"]
+        return F.struct(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(g["m"])).alias("stop")).alias("span"), g["m"].alias("m"))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda state: state["spans"])
-    return F.when(present, found).otherwise(empty)
+    found = F.transform(F.filter(F.zip_with(gaps, before, span), lambda x: valid(x["m"])), lambda x: x["span"])
+    return F.when(present, found).otherwise(F.expr(NO_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -114,15 +149,26 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, _hash))
 
 
+#: Entities that are no value: a text holds personal data of this kind (as in KINDS), or any.
+CLASSES = 5
+
+
+def _entities(text: Column, base: Column) -> Column:
+    """The different entities of a text, as hashes: its values and the classes they are of."""
+
+    def value(s):
+        return F.xxhash64(F.concat(s["kind"].cast("string"), F.lower(F.substring(text, s["start"] + 1, s["stop"] - s["start"]))))
+
+    classes = F.concat(F.transform(base, lambda s: s["kind"].cast("long")), F.array(F.lit(CLASSES - 1).cast("long")))
+    return F.when(F.size(base) > 0, F.array_distinct(F.concat(classes, F.transform(base, value)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
 def find_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's hash, its base spans and the hashes of its different entities."""
+    """doc_id, the text's hash, its base spans, its entities, and its terms where it has any of those."""
     step = docs.select("doc_id", whole_text().alias("_text"))
     step = step.select("doc_id", F.xxhash64("_text").alias("text_hash"), base_spans(F.col("_text")).alias("base"), "_text")
-
-    def entity(s):
-        return F.xxhash64(F.concat(s["kind"].cast("string"), F.lower(F.substring("_text", s["start"] + 1, s["stop"] - s["start"]))))
-
-    return step.select("doc_id", "text_hash", "base", F.array_distinct(F.transform("base", entity)).alias("entities"))
+    own = F.when(F.size("base") > 0, terms(F.col("_text")))
+    return step.select("doc_id", "text_hash", "base", _entities(F.col("_text"), F.col("base")).alias("entities"), own.alias("terms"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -131,54 +177,77 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The terms that disclose an entity of their documents."""
+    """The terms that disclose an entity."""
     total = found.count()
-    held = found.where("size(entities) > 0").groupBy("text_hash").agg(F.count("*").alias("rows"), F.any_value("entities").alias("entities"))
-    held = held.select("text_hash", "rows", F.explode("entities").alias("entity"))
-    # an entity of fewer texts has no term with enough of them
-    known = held.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("texts"))
-    known = materialise(known.where(F.col("texts") >= EVIDENCE).drop("texts"), "sanitise-known")
-    held = held.join(known.select("entity"), "entity").groupBy("text_hash", "rows").agg(F.collect_list("entity").alias("entities"))
-    texts = docs.select(whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = texts.join(held, "text_hash").groupBy("text_hash", "rows", "entities").agg(F.any_value("text").alias("text"))
-    pairs = texts.select("rows", "entities", F.explode(terms(F.col("text"))).alias("term")).select("rows", "term", F.explode("entities").alias("entity"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts"))
-    pairs = materialise(pairs.where(F.col("texts") >= EVIDENCE), "sanitise-pairs")
-    counted = pairs.join(term_counts(docs), "term").join(known, "entity")
-    pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n")))
-    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    told = (information > 0) & (pmi >= DISCLOSURE * information) & (2 * F.col("both") >= F.col("n"))
-    return counted.where(told).select("term").distinct()
+    held = found.where("size(entities) > 0").groupBy("text_hash")
+    held = held.agg(F.count("*").alias("rows"), F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms"))
+    held = materialise(held, "sanitise-held")
+    each = held.select("text_hash", "rows", F.explode("entities").alias("entity"))
+    # what stands in one text alone co-occurs with all of it
+    known = each.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("texts"))
+    known = materialise(known.where("texts >= 2").drop("texts"), "sanitise-known")
+    each = each.join(known.select("entity"), "entity").groupBy("text_hash").agg(F.collect_list("entity").alias("entities"))
+    pairs = held.drop("entities").join(each, "text_hash").select("rows", "entities", F.explode("terms").alias("term"))
+    pairs = pairs.select("rows", "term", F.explode("entities").alias("entity")).groupBy("entity", "term")
+    pairs = pairs.agg(F.sum("rows").alias("both"), F.count("*").alias("texts")).where("texts >= 2")
+    counts = materialise(term_counts(docs), "sanitise-counts")
+    possible = max(1, known.count()) * max(1, counts.count())
+    counted = pairs.join(counts, "term").join(known, "entity")
+    q, p = F.col("n_entity") / F.lit(float(total)), F.col("both") / F.col("n")
+    information = -F.log2(q)
+    rest = F.when(p < 1, (1 - p) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
+    # the rows that speak are as many as their different texts
+    bits = F.col("n") * F.col("texts") / F.col("both") * (p * F.log2(p / q) + rest)
+    told = (q < 1) & (F.log2(p / q) >= DISCLOSURE * information) & (2 * F.col("both") >= F.col("n"))
+    return counted.where(told & (bits >= math.log2(possible / CHANCE))).select("term").distinct()
 
 
 def _term_spans(text: Column, told: Column) -> Column:
     """Spans of every occurrence of the told terms."""
+    parts = _split(text)
+    before = _running(F.transform(parts, lambda w: F.length(w) + 1), _add)
 
-    def add(state, word):
+    def span(word, at):
         term = _term(word)
-        start = state["at"] + F.length(F.regexp_extract(word, r"^([^\p{L}\p{N}]*+)", 1))
-        span = F.array(F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(term)).alias("stop")))
+        start = at + F.length(F.regexp_extract(word, r"^([^\p{L}\p{N}]*+)", 1))
         hit = (term != "") & F.array_contains(told, _hash(term))
-        spans = F.when(hit, F.concat(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((state["at"] + F.length(word) + 1).alias("at"), spans.alias("spans"))
+        return F.when(hit, F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(term)).alias("stop")))
 
-    return F.aggregate(_split(text), F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("spans")), add, lambda state: state["spans"])
+    return F.filter(F.zip_with(parts, before, span), lambda s: s.isNotNull())
+
+
+def told_terms(docs: DataFrame, told: DataFrame) -> DataFrame | list[int]:
+    """The told terms as a list, or by text where they are many: (text_hash, told)."""
+    if told.count() <= LISTED:
+        return sorted(row["term"] for row in told.collect())
+    texts = docs.select(F.xxhash64(whole_text()).alias("text_hash"), F.explode(terms(whole_text())).alias("term"))
+    return materialise(texts.join(told, "term").groupBy("text_hash").agg(F.collect_set("term").alias("told")), "sanitise-hits")
+
+
+def with_term_spans(rows: DataFrame, told: DataFrame | list[int]) -> DataFrame:
+    """rows (with _text and base) and the column spans: base and told terms' spans, by start and then kind."""
+    if isinstance(told, list):
+        own = F.array_intersect(terms(F.col("_text")), F.array(*map(F.lit, told)).cast("array<bigint>")) if told else F.expr("cast(array() as array<bigint>)")
+        rows = rows.withColumn("_told", own)
+    else:
+        rows = rows.withColumn("text_hash", F.xxhash64("_text")).join(told.withColumnRenamed("told", "_told"), "text_hash", "left").drop("text_hash")
+    found = F.when(F.size("_told") > 0, _term_spans(F.col("_text"), F.col("_told"))).otherwise(F.expr(NO_SPANS))
+    # a term inside a base span is covered already
+    own = F.filter(found, lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    return rows.withColumn("spans", F.sort_array(F.concat("base", own))).drop("_told")
+
+
+def learn(docs: DataFrame) -> DataFrame | list[int]:
+    """What told_terms gives for the terms that disclose an entity of docs."""
+    found = materialise(find_entities(docs), "sanitise-entities")
+    return told_terms(docs, materialise(disclosing(found, docs), "sanitise-told"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and all (arrays of spans) for each row of docs."""
-    found = materialise(find_entities(docs), "sanitise-entities")
-    told = materialise(disclosing(found, docs), "sanitise-told")
-    # texts that hold such a term, each once, and then its places in them
-    texts = docs.select(whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    hits = texts.select("text_hash", F.explode(terms(F.col("text"))).alias("term")).join(told, "term")
-    hits = materialise(hits.groupBy("text_hash").agg(F.collect_set("term").alias("told")), "sanitise-hits")
-    placed = texts.join(hits, "text_hash").select("text_hash", _term_spans(F.col("text"), F.col("told")).alias("terms"))
-    joined = found.drop("entities").join(placed.dropDuplicates(["text_hash"]), "text_hash", "left")
-    # a term inside a base span is covered already
-    own = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    whole = F.sort_array(F.concat("base", F.coalesce(own, F.expr(NO_SPANS))))
-    return joined.select("doc_id", "text_hash", "base", whole.alias("all"))
+    rows = docs.select("doc_id", whole_text().alias("_text")).withColumn("base", base_spans(F.col("_text")))
+    spans = with_term_spans(rows, learn(docs))
+    return spans.select("doc_id", F.xxhash64("_text").alias("text_hash"), "base", F.col("spans").alias("all"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -192,21 +261,29 @@ def digest(spans: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with each span of the text replaced by its kind in brackets; spans that overlap are one."""
-    spans = find_spans(docs).where("size(all) > 0")
-    spans = spans.select(F.struct("doc_id", "text_hash").alias("_key"), "all").dropDuplicates(["_key"])
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(whole_text())))
-    joined = keyed.join(spans, "_key", "left")
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def add(state, s):
-        new = s["start"] >= state["at"]
-        text = F.concat(state["out"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"]))
-        return F.struct(F.when(new, text).otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["stop"]).alias("at"))
-
-    rest = lambda state: F.concat(state["out"], F.substring("text", state["at"] + 1, F.length("text")))
-    clean = F.aggregate("all", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), add, rest)
-    out = joined.withColumn("text", F.when(F.size("all") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """docs with each span of the text replaced by its kind in brackets; spans that overlap are one.
+
+    Spans are found in each row where it lies, so no text is shuffled and no crowd of copies meets.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), whole_text().alias("_text"))
+    rows = with_term_spans(rows.withColumn("base", base_spans(F.col("_text"))), learn(docs))
+    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    upto = _running(F.transform("spans", lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+    rows = rows.withColumn("_spans", F.zip_with("spans", upto, lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), at.alias("at"))))
+    pieces = F.transform(
+        F.filter("_spans", lambda s: s["start"] >= s["at"]),
+        lambda s: F.concat(F.substring("_text", s["at"] + 1, s["start"] - s["at"]), F.get(labels, s["kind"])),
+    )
+    rest = F.substring("_text", F.array_max(F.transform("spans", lambda s: s["stop"])) + 1, F.length("_text"))
+    rows = rows.withColumn("_clean", F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)))
+
+    def column(c: str) -> Column:
+        own = F.col("_row").getField(c)
+        if c == "text":
+            return F.coalesce("_clean", own)
+        if c == "n_chars":
+            return F.when(F.col("_clean").isNotNull(), F.length("_clean").cast("long")).otherwise(own)
+        return own
+
+    return rows.select(*[column(c).alias(c) for c in names])
