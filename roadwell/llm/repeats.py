@@ -2,17 +2,20 @@
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts anywhere else.
 
-Where such strings may be is found by minimisers: of the Q-grams of a string the one with the
-least hash is the string's anchor, so equal strings have equal anchors at equal places, and only
-strings whose anchors' Q-grams are met again need be compared.  Strings in a row that share an
-anchor are one segment; a segment met again whole is repeated in all its strings.  What is left are
-the segments around the ends of repeated passages: their bytes are gathered by anchor and their
-suffixes sorted by bucket-pointer refinement.  The initial buckets are the 8-grams; each bucket is
-refined by sorting on the bucket pointers at a later offset, which earlier rounds have refined, so
-that the depth doubles until it is LENGTH.  Suffixes that share a bucket then are equal strings.
-
-An anchor with very many different segments is dealt out over tasks by its segments' hashes; their
-strings' hashes meet in one more aggregation.
+The initial buckets are those of Q-grams.  Of the Q-grams of a string the one with the least hash is
+the string's anchor, so equal strings have equal anchors at equal places, and a string need only be
+looked for in the bucket of its anchor.  Strings in a row that share an anchor are one segment; equal
+segments count as one, with the number of their occurrences, and a segment that is met again whole
+is repeated in all its strings.  What is left are the segments around the ends of repeated passages.
+A bucket's segments are gathered in one task and the suffixes of their bytes sorted by bucket-pointer
+refinement: each bucket is sorted by the bucket pointers at the offset for which its members agree
+already, pointers are renewed in place, and buckets that come later sort by the renewed ones.
+
+A bucket with more than ``CROWD`` different segments is refined before that, by the bytes at later
+offsets: its strings are dealt out by how much of them lies before the anchor, in two halves, and
+those of a half share the bytes that all of its strings cover, which are their new bucket.  A half's
+strings are dealt out again in the same way while their bucket is too large; strings with one place
+for the anchor share all their bytes, so this ends after eight times at the most.
 
 Defined results: a null text is empty; texts shorter than LENGTH bytes stay whole; a text that
 repeats in another row goes whole if it is that long; rows with the same doc_id and text get the
@@ -27,17 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadwell.llm.shared import materialise, ship, whole_text
+from roadwell.llm.shared import drop, materialise, ship, whole_text
 
 LENGTH = 200
 Q = 32
 #: Q-grams in a string of LENGTH bytes.
 WIDTH = LENGTH - Q + 1
-#: Different segments of one anchor that a single task sorts.
+#: Different segments of one bucket that a single task sorts; larger buckets are refined first.
 CROWD = 2_000
+#: Bytes of the first buckets inside a task, and blocks of buckets that a round of refinement takes in turn.
+GRAM, BLOCKS = 7, 4
+#: Rows that may be broadcast.
+SMALL = 1_000_000
 #: Bytes of text that a task looks at together; longer texts go through in overlapping parts.
 PART = 1 << 20
 
+MASK = (1 << 64) - 1
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -75,30 +83,86 @@ def segments(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return h[anchors], starts, counts, anchors
 
 
+def parts_of(raw: bytes):
+    """(first byte, bytes) of the overlapping parts in which a text goes through."""
+    for lo in range(0, len(raw) - LENGTH + 1, PART - LENGTH + 1):
+        yield lo, raw[lo : lo + PART]
+
+
+def met_anchors(docs: DataFrame) -> DataFrame:
+    """(anchor, n): the anchors that stand at n >= 2 places of the corpus.
+
+    Anchors travel as packed numbers, those of a batch counted first.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * n
+
+    def find(batches):
+        for batch in batches:
+            found = [np.empty(0, np.uint64)]
+            for raw in batch.column(0).to_pylist():
+                for _, part in parts_of(raw):
+                    h, _, _, anchors = segments(np.frombuffer(part, np.uint8))
+                    found.append(h)
+            anchors, times = np.unique(np.concatenate(found), return_counts=True)
+            own = (anchors % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            anchors, times, own = anchors[order], times[order].astype("<u4"), own[order]
+            edges = np.searchsorted(own, np.arange(parts + 1)).tolist()
+            held = [k for k in range(parts) if edges[k] < edges[k + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(held, pa.int32()),
+                    pa.array([anchors[edges[k] : edges[k + 1]].tobytes() for k in held], pa.binary()),
+                    pa.array([times[edges[k] : edges[k + 1]].tobytes() for k in held], pa.binary()),
+                ],
+                ["part", "anchors", "times"],
+            )
+
+    def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for anchors, times in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                held.append((np.frombuffer(anchors, np.uint64), np.frombuffer(times, "<u4").astype(np.int64)))
+        if held:
+            anchors, at = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([t for _, t in held])).astype(np.int64)
+            again = times >= 2
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[again].view(np.int64)), pa.array(times[again])], ["anchor", "n"])
+
+    raw = docs.select(F.encode(whole_text(), "utf-8").alias("raw"))
+    packed = raw.mapInArrow(find, "part int, anchors binary, times binary")
+    return packed.repartition(n, "part").mapInArrow(count, "anchor long, n long")
+
+
+SEGMENT = "anchor long, segment long, doc_id long, key long, start long, strings int, at int"
+
+
 def text_segments(docs: DataFrame) -> DataFrame:
-    """A row for each segment of each text: anchor, segment hash, text key, start, strings."""
+    """A row for each segment of each text: anchor, segment hash, text key, start, strings, the anchor's place in it."""
     ship(docs.sparkSession)
 
     def find(batches):
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc, key, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for lo in range(0, len(raw) - LENGTH + 1, PART - LENGTH + 1):
-                    part = raw[lo : lo + PART]
-                    if len(part) < LENGTH:
-                        break
+                for lo, part in parts_of(raw):
                     anchor, starts, counts, places = segments(np.frombuffer(part, np.uint8))
                     ends = (starts + counts + (LENGTH - 1)).tolist()
                     # where the anchor lies in it is part of what a segment is
-                    seeds = (places - starts).tolist()
-                    out[1].extend(xxh3_64_intdigest(part[a:b], s) for a, b, s in zip(starts.tolist(), ends, seeds))
+                    seeds = places - starts
+                    view = memoryview(part)
+                    out[1].extend(map(xxh3_64_intdigest, [view[a:b] for a, b in zip(starts.tolist(), ends)], seeds.tolist()))
                     out[0].append(anchor)
                     out[2].extend([doc] * len(starts))
                     out[3].extend([key] * len(starts))
                     out[4].append(starts + lo)
                     out[5].append(counts)
+                    out[6].append(seeds)
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -108,60 +172,90 @@ def text_segments(docs: DataFrame) -> DataFrame:
                         pa.array(out[3], pa.int64()),
                         pa.array(np.concatenate(out[4]).astype(np.int64)),
                         pa.array(np.concatenate(out[5]).astype(np.int32)),
+                        pa.array(np.concatenate(out[6]).astype(np.int32)),
                     ],
-                    ["anchor", "segment", "doc_id", "key", "start", "strings"],
+                    [x.split()[0] for x in SEGMENT.split(", ")],
                 )
 
     held = docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()).alias("key"), F.encode(whole_text(), "utf-8").alias("raw"))
-    return held.mapInArrow(find, "anchor long, segment long, doc_id long, key long, start long, strings int")
+    return held.mapInArrow(find, SEGMENT)
 
 
-def refine(text: np.ndarray, starts: np.ndarray, limit: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket pointers of the suffixes at starts after sorting to depth: equal for equal strings.
+def bucket_pointers(text: np.ndarray, limit: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pointer, known): bucket pointers of all suffixes, and for how many bytes the members of each one's bucket agree.
 
-    text: bytes; limit: for each position how far its own text goes, so no comparison runs over
-    its end.  Bucket-pointer refinement: pointers of all positions, to the end of their bucket in
-    the suffix order; a round sorts the buckets that are not yet single by the pointers at the
-    offset reached so far and renews the pointers in place.
+    text: bytes; limit: for each position the end of its own text, beyond which nothing follows.
+    Bucket-pointer refinement: a pointer is the place of its bucket's last member in the order of the
+    suffixes.  A bucket that agrees for k bytes is sorted by the pointers k bytes on, whatever depth
+    those have by now, and its members' pointers are renewed in place; the blocks of buckets that
+    come after it in the same round sort by the renewed ones.  Buckets that agree for depth bytes, or
+    whose members have all ended, rest.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    grams = np.zeros(n, np.uint64)
-    for k in range(8):
-        grams = (grams << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
-    # a position too near its end for the offset keeps a bucket of its own
-    reach, q = limit - np.arange(n), 8
-    pointer = np.full(n, -1, np.int64)
-    live = np.flatnonzero(reach >= q)
-    order = live[np.argsort(grams[live], kind="stable")]
-    same = grams[order][1:] == grams[order][:-1]
-    pointer[order] = _ends(same)
-    while q < depth:
-        step = min(q, depth - q)
-        live = np.flatnonzero((reach >= q + step) & (pointer >= 0))
-        size = np.bincount(pointer[live], minlength=n + 1)
-        single = size[pointer[live]] == 1
-        crowded = live[~single]
-        later = pointer[np.minimum(crowded + step, n - 1)] if step < q else pointer[np.minimum(crowded + q, n - 1)]
-        order = crowded[np.lexsort((later, pointer[crowded]))]
-        key = pointer[order]
-        at = pointer[np.minimum(order + step, n - 1)]
-        same = (key[1:] == key[:-1]) & (at[1:] == at[:-1])
-        fresh = np.full(n, -1, np.int64)
-        fresh[live[single]] = n + np.arange(int(single.sum()))
-        fresh[order] = _ends(same)
-        # pointers need only tell buckets apart
-        found = np.flatnonzero(fresh >= 0)
-        _, fresh[found] = np.unique(fresh[found], return_inverse=True)
-        pointer, q = fresh, q + step
-    return pointer[starts]
+    digits = np.concatenate([text.astype(np.int64) + 1, np.zeros(GRAM, np.int64)])
+    reach = limit - np.arange(n)
+    grams = np.zeros(n, np.int64)
+    for k in range(GRAM):
+        # a text's end sorts before every byte
+        grams = grams * 257 + np.where(reach > k, digits[k : k + n], 0)
+    order = np.argsort(grams)
+    pointer = np.empty(n, np.int64)
+    known = np.full(n, GRAM, np.int64)
+    pointer[order] = _ends(grams[order][1:] == grams[order][:-1])
+    del grams, digits
+    while True:
+        size = np.bincount(pointer, minlength=n)
+        todo = order[(size[pointer[order]] > 1) & (known[order] < depth) & (known[order] <= reach[order])] if n else order
+        # order holds a bucket's members side by side, at places that refining never leaves
+        if not len(todo):
+            return pointer, known
+        cuts = np.flatnonzero(np.concatenate([[True], pointer[todo][1:] != pointer[todo][:-1]]))
+        firsts = np.unique(cuts[np.searchsorted(cuts, np.arange(0, len(todo), -(-len(todo) // BLOCKS)), "right") - 1])
+        for lo, hi in zip(firsts, [*firsts[1:], len(todo)]):
+            some = todo[lo:hi]
+            on = some + known[some]
+            later = np.where(on < limit[some], pointer[np.minimum(on, n - 1)], -1)
+            more = np.where(later >= 0, known[np.minimum(on, n - 1)], depth)
+            turn = np.argsort(pointer[some] * (n + 1) + later + 1)
+            some, later, more = some[turn], later[turn], more[turn]
+            old = pointer[some]
+            begin = np.concatenate([[True], old[1:] != old[:-1]])
+            same = ~begin[1:] & (later[1:] == later[:-1])
+            # a bucket's last member keeps its place; the members before it stand one place down each
+            last = np.flatnonzero(np.concatenate([begin[1:], [True]]))
+            of = np.searchsorted(last, np.arange(len(some)))
+            place = old - (last[of] - np.arange(len(some)))
+            ends = np.flatnonzero(np.concatenate([~same, [True]]))
+            order[place] = some
+            pointer[some] = place[ends[np.searchsorted(ends, np.arange(len(some)))]]
+            known[some] += more
 
 
 def _ends(same: np.ndarray) -> np.ndarray:
     """For sorted members the place of the last one of each one's bucket."""
-    n = len(same) + 1 if len(same) else len(same) + 1
     last = np.flatnonzero(np.concatenate([~same, [True]]))
-    return last[np.searchsorted(last, np.arange(n))]
+    return last[np.searchsorted(last, np.arange(len(same) + 1))]
+
+
+def refine(text: np.ndarray, starts: np.ndarray, limit: np.ndarray, length: int) -> np.ndarray:
+    """A number for each string of the given length: the same for equal ones."""
+    if not len(starts):
+        return np.empty(0, np.int64)
+    pointer, known = bucket_pointers(text, limit, length)
+    by = np.argsort(pointer[starts])
+    some = starts[by]
+    # in one bucket of that depth strings are equal; neighbours in two may be, where it went deeper
+    equal = (pointer[some][1:] == pointer[some][:-1]) & (known[some][1:] >= length)
+    left = np.flatnonzero(~equal)
+    for k in range(0, length, 8):
+        at = min(k, length - 8)
+        words = np.lib.stride_tricks.sliding_window_view(text, 8)
+        same = (words[some[left] + at] == words[some[left + 1] + at]).all(1)
+        left = left[same]
+    equal[left] = True
+    out = np.empty(len(starts), np.int64)
+    out[by] = np.concatenate([[0], np.cumsum(~equal)])
+    return out
 
 
 def sort_group(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +270,6 @@ def sort_group(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate([np.arange(e - n, e - LENGTH + 1) for e, n in zip(ends, lengths)])
     times = np.repeat([m for _, m in parts], lengths - LENGTH + 1)
     bucket = refine(text, starts, limit, LENGTH)
-    _, bucket = np.unique(bucket, return_inverse=True)
     return bucket, np.bincount(bucket, weights=times).astype(np.int64)
 
 
@@ -186,17 +279,14 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-FOUND = "anchor long, segment long, spans array<struct<first: int, past: int>>"
+FOUND = "bucket long, piece long, spans array<struct<first: int, past: int>>"
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+#: Pieces of a bucket: bytes, where the anchor lies in them, and how often they occur.
+PIECE = "bucket long, piece long, at int, times long, raw binary"
 
 
-def compare_segments(pieces: DataFrame, crowded: bool) -> DataFrame:
-    """Repeated strings of segments whose anchor has several: (anchor, segment, spans of string numbers).
-
-    pieces: anchor, segment, times, raw; those of an anchor are sorted together.  With crowded they
-    are dealt out one by one, and each string's hash is given instead, to be met by aggregation.
-    """
-    ship(pieces.sparkSession)
+def compare_pieces(pieces: DataFrame) -> DataFrame:
+    """Repeated strings of the pieces: (bucket, piece, spans of string numbers); a bucket's are sorted together."""
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def solve(batches):
@@ -210,7 +300,7 @@ def compare_segments(pieces: DataFrame, crowded: bool) -> DataFrame:
             def settle():
                 nonlocal group, size
                 if group:
-                    # texts of different anchors do not meet: equal strings have equal anchors
+                    # texts of different buckets do not meet: equal strings have equal anchors
                     bucket, times = sort_group([(r[3], r[2]) for r in group])
                     again, at = times[bucket] >= 2, 0
                     for r in group:
@@ -229,7 +319,7 @@ def compare_segments(pieces: DataFrame, crowded: bool) -> DataFrame:
             settle()
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], SPANS)],
-                ["anchor", "segment", "spans"],
+                ["bucket", "piece", "spans"],
             )
 
         for batch in batches:
@@ -241,34 +331,95 @@ def compare_segments(pieces: DataFrame, crowded: bool) -> DataFrame:
         if held:
             yield flush(held)
 
-    def hashes(batches):
-        from xxhash import xxh3_128_digest
+    columns = pieces.select("bucket", "piece", "times", "raw")
+    return columns.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, FOUND)
 
-        for batch in batches:
-            for anchor, segment, times, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                k = len(raw) - LENGTH + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([anchor] * k, pa.int64()), pa.array([segment] * k, pa.int64()), pa.array(range(k), pa.int32()),
-                        pa.array([times] * k, pa.int64()), pa.array([xxh3_128_digest(raw[i : i + LENGTH]) for i in range(k)], pa.binary()),
-                    ],
-                    ["anchor", "segment", "k", "times", "hash"],
-                )
 
-    columns = pieces.select("anchor", "segment", "times", "raw")
-    if not crowded:
-        return columns.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(solve, FOUND)
-    strings = columns.repartition(n, "anchor", "segment").mapInArrow(hashes, "anchor long, segment long, k int, times long, hash binary")
-    again = strings.groupBy("hash").agg(F.sum("times").alias("all")).where("all >= 2").select("hash")
-    found = strings.join(again, "hash").groupBy("anchor", "segment").agg(F.sort_array(F.collect_set("k")).alias("ks"))
-    return found.select("anchor", "segment", F.transform("ks", lambda k: F.struct(k.alias("first"), (k + 1).alias("past"))).alias("spans"))
+def split_pieces(pieces: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """The pieces dealt out by how many bytes of a string lie before its anchor: from (bucket, piece), its string first.
+
+    Strings of one range all cover the bytes from the least of it before the anchor to the most of it
+    behind; with the range those are the new bucket.
+    """
+
+    def split(batches):
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for bucket, piece, at, times, raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                last = len(raw) - LENGTH
+                for low, high in ranges:
+                    first, past = max(0, at - high), min(last, at - low) + 1
+                    if first < past:
+                        shared = raw[at - low : at + LENGTH - high] if at >= low else None
+                        own = raw[first : past + LENGTH - 1]
+                        rows.append(
+                            (
+                                xxh3_64_intdigest(shared, (bucket ^ (low << 32 | high)) & MASK),
+                                xxh3_64_intdigest(own, at - first),
+                                at - first, times, own, bucket, piece, first,
+                            )
+                        )
+            columns = [list(c) for c in zip(*rows)] or [[] for _ in range(8)]
+            for k in (0, 1):
+                columns[k] = np.array(columns[k], np.uint64).view(np.int64)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    names = ["bucket", "piece", "at", "times", "raw", "of_bucket", "of_piece", "first"]
+    columns = pieces.select("bucket", "piece", "at", "times", "raw")
+    return columns.mapInArrow(split, PIECE + ", of_bucket long, of_piece long, first int")
+
+
+def crowded(pieces: DataFrame, name: str) -> DataFrame:
+    """pieces with the flag crowd: whether its bucket has more than CROWD of them."""
+    crowds = materialise(pieces.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket"), name)
+    # a crowd has many rows, so there are few; beyond SMALL the join is dealt out like any other
+    crowds = F.broadcast(crowds) if crowds.count() <= SMALL else crowds
+    return pieces.join(crowds.withColumn("crowd", F.lit(True)), "bucket", "left").withColumn("crowd", F.col("crowd").isNotNull())
+
+
+def repeated_strings(pieces: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
+    """(bucket, piece, spans of string numbers) for the pieces with repeated strings.
+
+    low and high bound how many bytes of a string lie before its anchor.
+    """
+    high = LENGTH - Q if high is None else high
+    ranges = [(low, high)]
+    found: list[DataFrame] = []
+    links: list[DataFrame] = []
+    while True:
+        marked = crowded(pieces, "repeats-crowds")
+        own = materialise(compare_pieces(marked.where("NOT crowd").drop("crowd")), "repeats-found")
+        found.append(own)
+        if marked.where("crowd").isEmpty():
+            break
+        ranges = [r for a, b in ranges for r in ((a, (a + b) // 2), ((a + b) // 2 + 1, b)) if r[0] <= r[1]]
+        below = materialise(split_pieces(marked.where("crowd").drop("crowd"), ranges), "repeats-split")
+        links.append(below.select("bucket", "piece", "of_bucket", "of_piece", "first"))
+        pieces = below.groupBy("bucket", "piece").agg(
+            F.any_value("at").alias("at"), F.sum("times").alias("times"), F.any_value("raw").alias("raw")
+        )
+        pieces = materialise(pieces, "repeats-pieces")
+    # from the finest pieces up, what is found goes to the pieces they were cut from
+    below = found.pop()
+    while links:
+        up = links.pop().join(below, ["bucket", "piece"])
+        up = up.select(
+            F.col("of_bucket").alias("bucket"), F.col("of_piece").alias("piece"), F.col("first").alias("by"), F.explode("spans").alias("s")
+        )
+        moved = F.struct((F.col("s.first") + F.col("by")).alias("first"), (F.col("s.past") + F.col("by")).alias("past"))
+        up = up.groupBy("bucket", "piece").agg(F.collect_list(moved).alias("spans"))
+        below = found.pop().unionByName(up)
+    return below
 
 
 def take_pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (anchor, segment, times, doc_id, key, start, strings) with the bytes of each segment."""
+    """wanted (bucket, piece, at, times, doc_id, key, start, strings) with the bytes of each segment."""
     ship(docs.sparkSession)
     spots = wanted.groupBy(F.struct("doc_id", "key").alias("_key")).agg(
-        F.collect_list(F.struct("anchor", "segment", "times", "start", "strings")).alias("spots")
+        F.collect_list(F.struct("bucket", "piece", "at", "times", "start", "strings")).alias("spots")
     )
     texts = keyed(docs).select("_key", F.col("_text").alias("text")).join(spots, "_key").select("spots", F.encode("text", "utf-8").alias("raw"))
 
@@ -277,15 +428,16 @@ def take_pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 64):
                 some = batch.slice(lo, 64)
                 rows = [
-                    (s["anchor"], s["segment"], s["times"], raw[s["start"] : s["start"] + s["strings"] + LENGTH - 1])
+                    (s["bucket"], s["piece"], s["at"], s["times"], raw[s["start"] : s["start"] + s["strings"] + LENGTH - 1])
                     for spots, raw in zip(some.column(0).to_pylist(), some.column(1).to_pylist())
                     for s in spots
                 ]
-                columns = list(zip(*rows)) or [()] * 4
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "segment", "times", "raw"])
+                columns = list(zip(*rows)) or [()] * 5
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "piece", "at", "times", "raw"])
 
-    return texts.mapInArrow(cut, "anchor long, segment long, times long, raw binary").dropDuplicates(["anchor", "segment"])
+    # rows that share id and text give the same pieces
+    return texts.mapInArrow(cut, PIECE).dropDuplicates(["bucket", "piece"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -293,31 +445,48 @@ def keyed(docs: DataFrame) -> DataFrame:
     return step.select("doc_id", F.struct("doc_id", F.xxhash64("_text").alias("key")).alias("_key"), "_text")
 
 
+def with_met_anchors(marks: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of marks whose anchor is in met.
+
+    Anchors with more than their share of all places are few, by that share, and broadcast; their
+    rows join on a key of their own each, so that no task gets all rows of one anchor.
+    """
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (met.agg(F.sum("n")).first()[0] or 0) // (4 * n) + 1
+    hot = met.where(F.col("n") > share).select("anchor", F.lit(True).alias("hot"))
+    rows = marks.join(F.broadcast(hot), "anchor", "left")
+    rows = rows.withColumn("_at", F.when(F.col("hot"), F.xxhash64("segment", "doc_id", "key", "start")).otherwise(F.col("anchor")))
+    cold = met.where(F.col("n") <= share).select(F.col("anchor").alias("_at"), F.lit(True).alias("cold"))
+    return rows.join(cold, "_at", "left").where("hot OR cold").drop("_at", "hot", "cold")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """_key (doc_id and text hash) and spans, the merged byte spans to remove, for the texts that have any."""
-    marks = text_segments(docs)
-    met = marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n >= 2").select("anchor")
-    marks = materialise(marks.join(met, "anchor"), "repeats-segments")
-    sorts = marks.groupBy("anchor", "segment").agg(
-        F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "start", "strings")).alias("at")
+    met = materialise(met_anchors(docs), "repeats-met")
+    marks = materialise(with_met_anchors(text_segments(docs), met), "repeats-segments")
+    sorts = marks.groupBy(F.col("anchor").alias("bucket"), F.col("segment").alias("piece")).agg(
+        F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "start", "strings", "at")).alias("spot")
     )
     sorts = materialise(sorts, "repeats-sorts")
-    kinds = sorts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    several = sorts.join(kinds.where("kinds > 1"), "anchor").select("anchor", "segment", "times", "at.*", "kinds")
-    several = materialise(several, "repeats-several")
+    # an anchor with a single segment has nothing to sort; crowds are told apart first, as no task may get all their rows
+    marked = crowded(sorts, "repeats-crowds")
+    kinds = sorts.groupBy("bucket").count().where(F.col("count").between(2, CROWD)).select(F.col("bucket").alias("_at"), F.lit(True).alias("few"))
+    marked = marked.withColumn("_at", F.when(F.col("crowd"), F.xxhash64("bucket", "piece")).otherwise(F.col("bucket")))
+    several = marked.join(kinds, "_at", "left").where("crowd OR few").select("bucket", "piece", "times", "spot.*")
     pieces = materialise(take_pieces(docs, several), "repeats-pieces")
-    crowds = several.where(F.col("kinds") > CROWD).select("anchor").distinct()
-    few = compare_segments(pieces.join(crowds, "anchor", "left_anti"), False)
-    many = compare_segments(pieces.join(crowds, "anchor", "left_semi"), True)
-    partly = few.unionByName(many)
+    partly = materialise(repeated_strings(pieces), "repeats-strings")
+    drop(pieces)
     # a segment met again whole is repeated in every string, alone at its anchor or not
-    whole = sorts.where("times >= 2").select("anchor", "segment", F.col("at.strings").alias("all"))
-    found = whole.join(partly, ["anchor", "segment"], "full")
+    whole = sorts.where("times >= 2").select("bucket", "piece", F.col("spot.strings").alias("all"))
+    found = whole.join(partly, ["bucket", "piece"], "full")
     spans = F.when(F.col("all").isNotNull(), F.array(F.struct(F.lit(0).alias("first"), F.col("all").alias("past")))).otherwise(F.col("spans"))
-    found = found.select("anchor", "segment", spans.alias("spans"))
+    found = found.select(F.col("bucket").alias("anchor"), F.col("piece").alias("segment"), spans.alias("spans"))
     placed = marks.join(found, ["anchor", "segment"]).select(F.struct("doc_id", "key").alias("_key"), "start", F.explode("spans").alias("s"))
     covered = placed.select("_key", F.struct((F.col("start") + F.col("s.first")).alias("a"), (F.col("start") + F.col("s.past") + LENGTH - 1).alias("b")).alias("span"))
-    return covered.groupBy("_key").agg(F.collect_set("span").alias("spans"))
+    spans = materialise(covered.groupBy("_key").agg(F.collect_set("span").alias("spans")), "repeats-spans")
+    for held in (met, marks, sorts, partly):
+        drop(held)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -51,6 +51,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that materialise wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {os.path.dirname(name) for name in df.inputFiles()}
+    for folder in folders:
+        if os.path.basename(folder).startswith("roadwell-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once for each Spark context."""
     context = spark.sparkContext
