@@ -35,9 +35,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roadwell.llm.mixing import plan_mix
+    from roadwell.llm.mixing import CAP, plan_mix
 
-    return plan_mix(table(spark, sf_dir, "documents")).drop("source")
+    planned = plan_mix(table(spark, sf_dir, "documents"))
+    passes = [F.get("positions", F.lit(k)).alias(f"position_{k + 1}") for k in range(CAP)]
+    return planned.select("doc_id", "size", "source_size", "target", "taken", *passes)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,19 +123,25 @@ targets AS (
   SELECT source, source_size, slope,
     CASE WHEN most / w <= level THEN most ELSE least(most, w * (SELECT max(level) FROM levels WHERE most / w > level)) END AS target
   FROM levels),
+bent AS (SELECT *, coalesce(sum(target * slope) OVER () / sum(target) OVER (), 0) AS bend FROM targets),
 placed AS (
-  SELECT doc_id, size, source_size, slope, target,
+  SELECT row_number() OVER () AS n, doc_id, size, source_size, slope, bend, target,
     CAST(coalesce(sum(size) OVER (PARTITION BY sizes.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
     CAST(floor(target + 0.5) AS BIGINT) AS quota
-  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source),
+  FROM sizes JOIN bent ON sizes.source IS NOT DISTINCT FROM bent.source),
 passed AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM placed),
 counted AS (
-  SELECT *, CAST(passes * size + greatest(0, least(size, quota - passes * source_size - before)) AS BIGINT) AS taken, before / target AS due
-  FROM passed)
+  SELECT *, CAST(passes * size + greatest(0, least(size, quota - passes * source_size - before)) AS BIGINT) AS taken FROM passed),
+due AS (SELECT *, k, (before + k * source_size) / target AS share FROM counted CROSS JOIN range(3) AS t(k)),
+timed AS (
+  SELECT *, CASE WHEN taken > k * size THEN CASE WHEN slope = 0 THEN share
+    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END END AS u
+  FROM due)
 SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN due
-    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * due) - (1 - slope)) / (2 * slope) END, 9) END AS position
-FROM counted"""
+  max(CASE WHEN k = 0 THEN round(u + bend * (u * u - u), 9) + CAST(0 AS DOUBLE) END) AS position_1,
+  max(CASE WHEN k = 1 THEN round(u + bend * (u * u - u), 9) + CAST(0 AS DOUBLE) END) AS position_2,
+  max(CASE WHEN k = 2 THEN round(u + bend * (u * u - u), 9) + CAST(0 AS DOUBLE) END) AS position_3
+FROM timed GROUP BY n, doc_id, size, source_size, target, taken"""
 
 
 def oracle_sql() -> dict[str, str]:
