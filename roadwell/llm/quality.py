@@ -130,6 +130,11 @@ def pattern() -> Column:
     return total.cast("int")
 
 
+def _let(x: Column, use) -> Column:
+    """use(x) with x evaluated once: column expressions share nothing by themselves."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 class Rates:
     """The model: the share of each class and each rule's chances of each vote in it; class 0 is good."""
 
@@ -144,20 +149,21 @@ class Rates:
     def posteriors(self) -> Column:
         """For a row with pattern the probability of each class.
 
-        The rates go in as one array, so every round runs the code that the first one compiled.
+        The rates go in as one text, which is read once into an array.
         """
         flat = [math.log(s) for s in self.share]
         flat += [math.log(x) for own in self.chance for rule in own for x in rule]
-        held = F.array(*map(F.lit, flat))
-        vote = lambda k: F.expr("(shiftright(pattern, 2 * {0}) & 3)".format(k))
-        scores = []
-        for c in range(self.classes):
+        held = F.split(F.lit(",".join(map(repr, flat))), ",").cast("array<double>")
+        rules = F.sequence(F.lit(0), F.lit(self.rules - 1))
+        votes = F.array(*[F.shiftright("pattern", 2 * k).bitwiseAND(F.lit(3)) for k in range(self.rules)])
+
+        def score(c):
             first = self.classes + 4 * self.rules * c
-            scores.append(F.get(held, F.lit(c)) + sum((F.get(held, vote(k) + first + 4 * k) for k in range(self.rules)), F.lit(0.0)))
-        scores = F.array(*scores)
-        weights = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-        total = F.aggregate(weights, F.lit(0.0), lambda t, w: t + w)
-        return F.transform(weights, lambda w: w / total)
+            return F.aggregate(rules, F.get(held, c), lambda total, k: total + F.get(held, first + 4 * k + F.get(votes, k)))
+
+        scores = F.transform(F.sequence(F.lit(0), F.lit(self.classes - 1)), score)
+        weights = _let(scores, lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
+        return _let(weights, lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda t, y: t + y)))
 
     def updated(self, patterns: DataFrame) -> Rates:
         """The rates after one round; patterns: a row for each pattern with its count n."""
