@@ -227,7 +227,8 @@ def told_terms(docs: DataFrame, told: DataFrame) -> DataFrame | list[int]:
 def with_term_spans(rows: DataFrame, told: DataFrame | list[int]) -> DataFrame:
     """rows (with _text and base) and the column spans: base and told terms' spans, by start and then kind."""
     if isinstance(told, list):
-        own = F.array_intersect(terms(F.col("_text")), F.array(*map(F.lit, told)).cast("array<bigint>")) if told else F.expr("cast(array() as array<bigint>)")
+        # a list of literals is looked up in one hash set for all rows
+        own = F.filter(terms(F.col("_text")), lambda t: t.isin(told)) if told else F.expr("cast(array() as array<bigint>)")
         rows = rows.withColumn("_told", own)
     else:
         rows = rows.withColumn("text_hash", F.xxhash64("_text")).join(told.withColumnRenamed("told", "_told"), "text_hash", "left").drop("text_hash")
