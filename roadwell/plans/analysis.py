@@ -44,6 +44,18 @@ def unverified(cells: DataFrame) -> DataFrame:
     return cells.agg(F.count("*").alias("cells"), F.count_if((F.col("strategy") != "seq") & ~F.col("verified").eqNullSafe(F.lit(1))).alias("unverified"))
 
 
+def default_cells(cells: DataFrame, defaults: dict[str, dict]) -> DataFrame:
+    """Each graph's cells at its own default k, q and B; defaults are those by graph."""
+    spark = cells.sparkSession
+    rows = [(g, d["k"], d["q"], d["B"]) for g, d in defaults.items()]
+    chosen = spark.createDataFrame(rows, "label string, k int, q int, B int")
+    return cells.join(chosen, ["label", "k", "q", "B"], "left_semi")
+
+
+def in_table_order(cells: DataFrame) -> DataFrame:
+    return cells.orderBy("label", "alg", "strategy", "p")
+
+
 def speedup_rows(cells: DataFrame) -> DataFrame:
     """Speedup by p for each strategy, with its range, and the ideal line."""
     own = cells.where("strategy <> 'seq'").select("label", "alg", "strategy", "p", "speedup", "speedup_lo", "speedup_hi")
@@ -59,7 +71,7 @@ def sweep_rows(cells: DataFrame, most: int, defaults: dict) -> DataFrame:
         rows = cells.where((F.col("p") == most) & (F.col("strategy") != "seq"))
         for other in defaults.keys() - {name}:
             rows = rows.where(F.col(other) == defaults[other])
-        rows = rows.select(F.lit(name).alias("varied"), F.col(name).alias("value"), "label", "alg", "strategy", "speedup")
+        rows = rows.select(F.lit(name).alias("varied"), F.col(name).alias("value"), "label", "alg", "strategy", "speedup", "speedup_lo", "speedup_hi")
         out = rows if out is None else out.unionByName(rows)
     return out
 

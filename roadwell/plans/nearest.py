@@ -1,26 +1,38 @@
-"""Nearest facilities by frontier rounds over DataFrames.
+"""Nearest facilities by draining parts of the graph and exchanging what crosses their borders.
 
-One search answers all scenarios at once: labels are keyed by (scenario, node), a round joins the
-nodes whose label fell with the arcs that leave them, and one aggregation, combined before its
-shuffle, merges offers with the labels held so far.  Rounds are written, so lineage stays short
-and a lost executor costs no more than a round.
+The nodes are cut into contiguous ranges with about equally many arcs.  A part's arcs are held in
+compressed rows by one task, and a round is one exchange: each task merges the labels that were
+offered to its nodes, drains its range until nothing in it falls any more, and offers the labels that
+fell on nodes of other parts to their owners.  So rounds are counted by how often a way crosses a
+border, not by its hops.  One search answers all scenarios at once; scenarios are dealt over lanes,
+tasks of their own with the same part.  Rounds are written, so lineage stays short and a lost
+executor costs no more than a round.
 """
 
 from __future__ import annotations
 
-import heapq
+import time
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadwell.functions.labels import STEP, distance, facility
-from roadwell.storage import materialise
+from roadwell.shipping import ship
+from roadwell.storage import drop, materialise
 
 STRATEGIES = ("seq", "source", "graph", "scenario")
-#: Arcs that one task may hold for a local search; larger graphs are searched by rounds.
-LOCAL_ARCS = 5_000_000
+#: Arcs of a part, on average at the most, where the number of parts is not asked for.
+PART_ARCS = 4_000_000
+#: Shares of a scenario's facilities, and so tasks, of the source strategy where their number is not asked for.
+SHARES = 4
+#: Labels that a task drains at once: nodes of the part times scenarios.
+HELD = 16_000_000
+FAR = np.iinfo(np.int64).max
 
 
 def transpose(arcs: DataFrame) -> DataFrame:
@@ -34,27 +46,233 @@ def seeds(scenarios: DataFrame, facilities: DataFrame) -> DataFrame:
     return placed.groupBy("scenario", "node").agg(F.min("pool_idx").cast("long").alias("label"))
 
 
-def spread(arcs: DataFrame, start: DataFrame, cost: Column) -> DataFrame:
-    """The least labels (scenario, node, label) reachable from start, offers growing by cost on each arc."""
-    n = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = arcs.select("src", "dst", cost.cast("long").alias("step")).groupBy("src", "dst").agg(F.min("step").alias("step"))
-    held = held.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    state = start.groupBy("scenario", "node").agg(F.min("label").alias("label")).withColumn("fell", F.lit(True))
-    state = materialise(state, "labels")
+def drain(begin: np.ndarray, to: np.ndarray, step: np.ndarray, labels: np.ndarray, own: np.ndarray, front: np.ndarray, width: int) -> None:
+    """Lowers labels along the arcs from the nodes of front until no node of one's own falls any more.
+
+    labels has n places for each scenario, one scenario after another, and so has front; own tells
+    which of the n nodes are one's own.  Nodes whose labels are within width of the least one go
+    together, the others wait.
+    """
+    n = len(begin) - 1
+    waiting = np.zeros(len(labels), bool)
+    waiting[front] = True
+    while len(front):
+        held = labels[front]
+        now = held <= held.min() + width
+        some, held, front = front[now], held[now], front[~now]
+        waiting[some] = False
+        node = some % n
+        first, many = begin[node], begin[node + 1] - begin[node]
+        ends = np.cumsum(many)
+        arc = np.repeat(first - ends + many, many) + np.arange(ends[-1])
+        target = to[arc] + np.repeat(some - node, many)
+        offer = step[arc] + np.repeat(held, many)
+        better = offer < labels[target]
+        target, offer = target[better], offer[better]
+        np.minimum.at(labels, target, offer)
+        target = target[own[target % n] & ~waiting[target]]
+        waiting[target] = True
+        front = np.concatenate([front, np.unique(target)])
+
+
+#: What travels: labels held (0) or offered (1) for a task's nodes, or the seconds a task took (2).
+MESSAGE = "task int, kind int, scenario int, nodes array<long>, labels array<long>"
+
+
+def part_of(node: Column, cuts: list[int]) -> Column:
+    """The part that owns a node; a part begins at each of cuts."""
+    if not cuts:
+        return F.lit(0)
+    held = F.array(*[F.lit(c).cast("long") for c in cuts])
+    return F.size(F.filter(held, lambda c: c <= node)).cast("int")
+
+
+def even_cuts(arcs: DataFrame, parts: int) -> list[int]:
+    """Where parts begin that have about equally many arcs by their first node."""
+    if parts < 2:
+        return []
+    row = arcs.agg(F.percentile_approx("src", F.array(*[F.lit(r / parts) for r in range(1, parts)]), F.lit(20 * parts)).alias("c")).first()
+    return sorted(set(row["c"] or ()))
+
+
+def graph_parts(arcs: DataFrame, cuts: list[int], lanes: int) -> DataFrame:
+    """(task, names, begin, to, step): a part's arcs (src, dst, step) in compressed rows, for each lane."""
+    parts = len(cuts) + 1
+
+    def build(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        part, src, dst, step = (table.column(k).to_numpy() for k in range(4))
+        names = np.unique(np.concatenate([src, dst]))
+        at = np.searchsorted(names, src)
+        order = np.argsort(at, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))]).astype("<i8")
+        to = np.searchsorted(names, dst)[order].astype("<i4")
+        blobs = [names.astype("<i8"), begin, to, step[order].astype("<i8")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(part[0])], pa.int32()), *[pa.array([b.tobytes()], pa.large_binary() if b.nbytes > 1 << 30 else pa.binary()) for b in blobs]],
+            ["part", "names", "begin", "to", "step"],
+        )
+
+    dealt = arcs.select(part_of(F.col("src"), cuts).alias("part"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("step").cast("long"))
+    built = dealt.repartitionById(parts, F.col("part")).mapInArrow(build, "part int, names binary, begin binary, to binary, step binary")
+    tasks = F.sequence((F.col("part") * lanes).cast("int"), (F.col("part") * lanes + lanes - 1).cast("int"))
+    return built.select(F.explode(tasks).alias("task"), "names", "begin", "to", "step")
+
+
+def drained(cuts: list[int], lanes: int):
+    """What a task does in a round, as a function of its graph and of the messages to it."""
+    edges = np.array(cuts, np.int64)
+    columns = [c.split()[0] for c in MESSAGE.split(", ")]
+    nothing = pd.DataFrame({c: pd.Series([], dtype="object" if c in ("nodes", "labels") else "int32") for c in columns})
+
+    def run(key, graph: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+        if not len(messages):
+            return nothing
+        began = time.perf_counter()
+        task = int(key[0])
+        if len(graph):
+            names, begin, step = (np.frombuffer(graph[c].iloc[0], "<i8") for c in ("names", "begin", "step"))
+            to = np.frombuffer(graph["to"].iloc[0], "<i4")
+        else:
+            names, begin, to, step = np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+        # nodes without an arc here have labels too
+        more = np.setdiff1d(np.concatenate(messages["nodes"].tolist()).astype(np.int64), names)
+        if len(more):
+            order = np.argsort(np.concatenate([names, more]), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            many = np.concatenate([np.diff(begin), np.zeros(len(more), np.int64)])[order]
+            names, begin, to = np.concatenate([names, more])[order], np.concatenate([[0], np.cumsum(many)]), place[to]
+        n = len(names)
+        own = np.searchsorted(edges, names, "right") == task // lanes
+        # a wide window for arcs of no cost, one level for equal costs, else some arcs' length
+        width = (1 << 61) if not len(step) or step.max() == 0 else int(step.min()) - 1 if step.min() == step.max() else int(2 * step.mean())
+        rows: list[tuple] = []
+        scenarios = np.unique(messages["scenario"])
+        for lo in range(0, len(scenarios), max(1, HELD // n)):
+            some = scenarios[lo : lo + max(1, HELD // n)]
+            labels = np.full(n * len(some), FAR, np.int64)
+            before = None
+            fell: list[np.ndarray] = []
+            for kind in (0, 1):
+                for row in messages[(messages["kind"] == kind) & messages["scenario"].isin(some)].itertuples():
+                    at = np.searchsorted(names, np.asarray(row.nodes, np.int64)) + n * int(np.searchsorted(some, row.scenario))
+                    offers = np.asarray(row.labels, np.int64)
+                    if kind:
+                        better = offers < labels[at]
+                        np.minimum.at(labels, at[better], offers[better])
+                        fell.append(at[better])
+                    else:
+                        labels[at] = offers
+                if kind == 0:
+                    before = labels.copy()
+            front = np.unique(np.concatenate(fell)) if fell else np.empty(0, np.int64)
+            drain(begin, to, step, labels, own, front, width)
+            for k, scenario in enumerate(some.tolist()):
+                part = labels[n * k : n * (k + 1)]
+                reached = part < FAR
+                rows.append((task, 0, scenario, names[reached], part[reached]))
+                away = np.flatnonzero((part < before[n * k : n * (k + 1)]) & ~own)
+                owner = np.searchsorted(edges, names[away], "right")
+                for other in np.unique(owner).tolist():
+                    sent = away[owner == other]
+                    rows.append((other * lanes + task % lanes, 1, scenario, names[sent], part[sent]))
+        rows.append((task, 2, 0, np.empty(0, np.int64), np.array([int(1e6 * (time.perf_counter() - began))])))
+        return pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+@dataclass
+class Found:
+    """labels (scenario, node, label), and what the search took."""
+
+    labels: DataFrame
+    rounds: int = 0
+    messages: int = 0
+    #: Seconds of draining by task.
+    seconds: dict[int, float] = field(default_factory=dict)
+    cuts: list[int] = field(default_factory=list)
+
+
+def search(
+    arcs: DataFrame, start: DataFrame, cost: Column, parts: int | None = None, cuts: list[int] | None = None, lanes: int | None = None
+) -> Found:
+    """The least labels reachable from start (scenario, node, label), offers growing by cost on each arc.
+
+    parts ranges of nodes with equally many arcs, or those that begin at cuts; without either, as many
+    as PART_ARCS asks for.  Scenario s is searched in lane s modulo lanes; without lanes there are as
+    many as scenarios, while parts and lanes together make no more tasks than can run.
+    """
+    spark = arcs.sparkSession
+    ship(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = materialise(arcs.select("src", "dst", cost.cast("long").alias("step")), "search-arcs")
+    if cuts is None:
+        cuts = even_cuts(held, parts if parts else max(1, -(-held.count() // PART_ARCS)))
+    start = materialise(start.groupBy("scenario", "node").agg(F.min("label").alias("label")), "search-start")
+    if lanes is None:
+        lanes = max(1, min(start.select("scenario").distinct().count(), spark.sparkContext.defaultParallelism // (len(cuts) + 1)))
+    lane = F.pmod(F.col("scenario"), F.lit(lanes))
+    graph = graph_parts(held, cuts, lanes).repartition(n, "task").persist(StorageLevel.MEMORY_AND_DISK)
+    packed = start.groupBy((part_of(F.col("node"), cuts) * lanes + lane).cast("int").alias("task"), F.col("scenario").cast("int"))
+    packed = packed.agg(F.collect_list(F.struct("node", "label")).alias("x"))
+    current = packed.select("task", F.lit(1).alias("kind"), "scenario", F.col("x.node").alias("nodes"), F.col("x.label").alias("labels"))
+    found = Found(None, cuts=cuts)
+    run, idle, before = drained(cuts, lanes), None, None
     try:
-        while not state.where("fell").isEmpty():
-            front = state.where("fell").select("scenario", F.col("node").alias("src"), "label")
-            offers = front.join(held, "src").select(
-                "scenario", F.col("dst").alias("node"), (F.col("label") + F.col("step")).alias("label"), F.lit(None).cast("long").alias("before")
+        while True:
+            step = graph.groupBy("task").cogroup(current.groupBy("task")).applyInPandas(run, MESSAGE)
+            written = materialise(step if idle is None else step.unionByName(idle), "search-round")
+            found.rounds += 1
+            if before is not None:
+                drop(before)
+            before = written
+            counts = written.where("kind > 0").groupBy("task", "kind").agg(
+                F.sum(F.size("nodes")).alias("sent"), F.sum(F.element_at("labels", 1)).alias("took")
             )
-            known = state.select("scenario", "node", "label", F.col("label").alias("before"))
-            merged = known.unionByName(offers).groupBy("scenario", "node")
-            merged = merged.agg(F.min("label").alias("label"), F.min("before").alias("before"))
-            fell = F.col("before").isNull() | (F.col("label") < F.col("before"))
-            state = materialise(merged.select("scenario", "node", "label", fell.alias("fell")), "labels")
+            # a row or two for each task
+            counts = counts.collect()
+            for row in counts:
+                if row["kind"] == 2:
+                    found.seconds[row["task"]] = found.seconds.get(row["task"], 0.0) + row["took"] / 1e6
+                else:
+                    found.messages += row["sent"]
+            active = [row["task"] for row in counts if row["kind"] == 1]
+            if not active:
+                break
+            current = written.where(F.col("kind").isin(0, 1) & F.col("task").isin(active))
+            idle = written.where((F.col("kind") == 0) & ~F.col("task").isin(active))
     finally:
-        held.unpersist()
-    return state.select("scenario", "node", "label")
+        graph.unpersist()
+        drop(held)
+        drop(start)
+    edges = np.array(cuts, np.int64)
+
+    def unpack(batches):
+        for batch in batches:
+            for task, scenario, nodes, labels in zip(*(batch.column(k) for k in range(4))):
+                node, label = (np.asarray(x.values, np.int64) for x in (nodes, labels))
+                own = np.searchsorted(edges, node, "right") == task.as_py() // lanes
+                for lo in range(0, len(node), 1 << 18):
+                    some = slice(lo, lo + (1 << 18))
+                    keep = own[some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(int(keep.sum()), scenario.as_py(), np.int32)), pa.array(node[some][keep]), pa.array(label[some][keep])],
+                        ["scenario", "node", "label"],
+                    )
+
+    states = before.where("kind = 0").select("task", "scenario", "nodes", "labels")
+    found.labels = states.mapInArrow(unpack, "scenario int, node long, label long")
+    return found
+
+
+def spread(arcs: DataFrame, start: DataFrame, cost: Column) -> DataFrame:
+    """The least labels (scenario, node, label) reachable from start, offers growing by cost on each arc."""
+    return search(arcs, start, cost).labels
 
 
 def arc_cost(metric: str) -> Column:
@@ -76,70 +294,46 @@ def _grid(scenarios: DataFrame, origins: DataFrame) -> DataFrame:
     return origins.crossJoin(F.broadcast(numbers)).select(F.explode("all").alias("scenario"), "qidx", "node")
 
 
-def nearest_facility(
-    arcs: DataFrame, facilities: DataFrame, scenarios: DataFrame, origins: DataFrame, metric: str = "weighted",
-    strategy: str = "graph", parts: int = 4,
-) -> DataFrame:
-    """answers by one of four ways of dividing the work; all give the same rows.
+def find(
+    arcs: DataFrame, facilities: DataFrame, scenarios: DataFrame, metric: str = "weighted", strategy: str = "graph",
+    parts: int | None = None, cuts: list[int] | None = None,
+) -> Found:
+    """The search of nearest_facility: labels by scenario and node; those of source by scenario * parts + share.
 
-    arcs (src, dst, w), facilities (pool_idx, node), scenarios (scenario, pos, pool_idx),
-    origins (qidx, node).  seq: one task, scenario after scenario.  source: each scenario's
-    facilities dealt out by position, answers merged by minimum.  scenario: one task for each
-    scenario.  graph: arcs dealt out by source node, labels exchanged in rounds.
+    Where parts is given, task r does the work of process r: with source its share of each scenario's
+    facilities, with scenario the scenarios that are r modulo parts, with graph its range of nodes.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "graph":
-        labels = spread(arcs, seeds(scenarios, facilities), arc_cost(metric))
-        return answers(labels, origins, scenarios)
     if strategy == "source":
-        # a group for each scenario and share of its facilities, searched together
-        dealt = scenarios.select((F.col("scenario") * parts + F.col("pos") % parts).alias("scenario"), "pool_idx")
-        labels = spread(arcs, seeds(dealt, facilities), arc_cost(metric))
-        labels = labels.join(origins.select("node").distinct(), "node", "left_semi")
-        labels = labels.groupBy(F.floor(F.col("scenario") / parts).cast("int").alias("scenario"), "node").agg(F.min("label").alias("label"))
-        return answers(labels, origins, scenarios)
-    labels = local_search(arcs, seeds(scenarios, facilities), metric, one_task=strategy == "seq")
-    return answers(labels, origins, scenarios)
+        share = parts or SHARES
+        scenarios = scenarios.select((F.col("scenario") * share + F.col("pos") % share).cast("int").alias("scenario"), "pool_idx")
+    start, cost = seeds(scenarios, facilities), arc_cost(metric)
+    if strategy == "graph":
+        return search(arcs, start, cost, parts, cuts, lanes=1 if parts else None)
+    return search(arcs, start, cost, cuts=[], lanes={"seq": 1, "source": parts or SHARES, "scenario": parts}[strategy])
 
 
-def local_search(arcs: DataFrame, start: DataFrame, metric: str, one_task: bool) -> DataFrame:
-    """Each scenario searched whole in one task, with the graph in its memory.
+def merged(found: Found, origins: DataFrame, strategy: str, parts: int | None = None) -> DataFrame:
+    """Labels by scenario and node; shares of a scenario's facilities merge by minimum, at the origins alone."""
+    if strategy != "source":
+        return found.labels
+    labels = found.labels.join(origins.select("node").distinct(), "node", "left_semi")
+    return labels.groupBy(F.floor(F.col("scenario") / (parts or SHARES)).cast("int").alias("scenario"), "node").agg(F.min("label").alias("label"))
+
+
+def nearest_facility(
+    arcs: DataFrame, facilities: DataFrame, scenarios: DataFrame, origins: DataFrame, metric: str = "weighted",
+    strategy: str = "graph", parts: int | None = None,
+) -> DataFrame:
+    """answers by one of four ways of dividing the work; all give the same rows.
 
-    Graphs beyond LOCAL_ARCS arcs are searched by rounds instead, to the same labels.
+    arcs (src, dst, w), facilities (pool_idx, node), scenarios (scenario, pos, pool_idx),
+    origins (qidx, node).  seq: one task, scenario after scenario.  source: each scenario's
+    facilities dealt out by position over parts shares, answers merged by minimum.  scenario: each
+    scenario whole in one task.  Those three hold the whole graph in a task, as their names say.
+    graph: nodes cut into parts ranges, labels exchanged in rounds; as many as the arcs ask for
+    where parts is not given.
     """
-    if arcs.count() > LOCAL_ARCS:
-        return spread(arcs, start, arc_cost(metric))
-    spark = arcs.sparkSession
-    frame = arcs.select("src", "dst", (F.col("w") if metric == "weighted" else F.lit(1)).cast("long").alias("w")).toPandas()
-    frame = frame.sort_values("src", kind="stable")
-    held = spark.sparkContext.broadcast((frame["src"].to_numpy(), frame["dst"].to_numpy(), frame["w"].to_numpy()))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        src, dst, w = held.value
-        names, first = np.unique(src, return_index=True)
-        ends = np.append(first[1:], len(src))
-        begin = dict(zip(names.tolist(), zip(first.tolist(), ends.tolist())))
-        to, by = dst.tolist(), w.tolist()
-        rows = []
-        for scenario, own in group.groupby("scenario"):
-            best = dict(zip(own["node"].tolist(), own["label"].tolist()))
-            heap = [(label, node) for node, label in best.items()]
-            heapq.heapify(heap)
-            while heap:
-                label, node = heapq.heappop(heap)
-                if best[node] != label:
-                    continue
-                lo, hi = begin.get(node, (0, 0))
-                for k in range(lo, hi):
-                    offer = label + (by[k] << 32)
-                    if offer < best.get(to[k], offer + 1):
-                        best[to[k]] = offer
-                        heapq.heappush(heap, (offer, to[k]))
-            rows.append(pd.DataFrame({"scenario": scenario, "node": list(best), "label": list(best.values())}))
-        return pd.concat(rows)
-
-    keyed = start.withColumn("task", F.lit(0) if one_task else F.col("scenario"))
-    return keyed.groupBy("task").applyInPandas(search, "scenario int, node long, label long")
+    found = find(arcs, facilities, scenarios, metric, strategy, parts)
+    return answers(merged(found, origins, strategy, parts), origins, scenarios)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadwell.functions.geo import arc_weight, haversine, morton_order
@@ -12,6 +15,8 @@ from roadwell.operators.components import largest_component
 from roadwell.operators.snap import facility_pool, nearest_node
 from roadwell.operators.ways import CLASSES, class_filter, clip, crop, drop_invalid, expand, induced, renumber, segments
 from roadwell.plans.nearest import transpose
+from roadwell.sources.graph_files import write_graph, write_vector
+from roadwell.sources.tables import sha256_of_files
 from roadwell.storage import materialise
 
 
@@ -57,10 +62,44 @@ def prepare(
     nodes = ordered.select(F.col("rank").alias("node"), "lon", "lat")
     listed = materialise(facilities.withColumn("pid", F.monotonically_increasing_id()), "prepare-facilities")
     pool = materialise(facility_pool(nearest_node(listed, nodes), max_snap_m).drop("pid"), "prepare-pool")
-    listed_n, pool_n = listed.count(), pool.count()
-    meta = {
-        "nodes": nodes.count(), "edges": arcs.count(), "raw_nodes_in_extract": raw_nodes, "schools_in_list": listed_n, "schools_in_pool": pool_n,
-        "schools_dropped_outside_graph_or_snap": listed_n - pool_n, "highways": ",".join(classes), "ignore_oneway": ignore_oneway,
-        "centre": f"{centre[0]},{centre[1]}", "bbox": ",".join(map(str, bbox)) if bbox else None, "target_nodes": target_nodes, "max_snap_m": max_snap_m,
+    counts = meta_counts(nodes, arcs, raw_nodes, listed, pool)
+    meta = counts | {
+        "highways": ",".join(classes), "ignore_oneway": ignore_oneway, "centre": f"{centre[0]},{centre[1]}",
+        "bbox": ",".join(map(str, bbox)) if bbox else None, "target_nodes": target_nodes, "max_snap_m": max_snap_m,
     }
     return Prepared(nodes, arcs, pool, meta)
+
+
+def meta_counts(nodes: DataFrame, arcs: DataFrame, raw_nodes: int, listed: DataFrame, pool: DataFrame) -> dict:
+    """What a prepared graph holds, and how many facilities were listed, kept and dropped."""
+    listed_n, pool_n = listed.count(), pool.count()
+    return {
+        "nodes": nodes.count(), "edges": arcs.count(), "raw_nodes_in_extract": raw_nodes, "schools_in_list": listed_n,
+        "schools_in_pool": pool_n, "schools_dropped_outside_graph_or_snap": listed_n - pool_n,
+    }
+
+
+def write_prepared(spark: SparkSession, found: Prepared, folder: str, map_file: str, facility_file: str) -> dict:
+    """Writes graph.bin, nodes.csv, schools.bin, schools_map.csv and meta.json, and returns what meta.json holds.
+
+    The formats are single files in node order; rows stream through the driver a partition at a time.
+    """
+    os.makedirs(folder, exist_ok=True)
+    write_graph(os.path.join(folder, "graph.bin"), found.meta["nodes"], found.arcs)
+    write_vector(os.path.join(folder, "schools.bin"), found.pool)
+    with open(os.path.join(folder, "nodes.csv"), "w") as f:
+        f.write("node,lon,lat\n")
+        for row in found.nodes.select("node", "lon", "lat").orderBy("node").toLocalIterator():
+            f.write(f"{row[0]},{row[1]:.7f},{row[2]:.7f}\n")
+    with open(os.path.join(folder, "schools_map.csv"), "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["pool_idx", "school_id", "lat", "lon", "node", "snap_m"])
+        for row in found.pool.select("pool_idx", "facility_id", "lat", "lon", "node", "snap_m").orderBy("pool_idx").toLocalIterator():
+            out.writerow([*row[:5], f"{row[5]:.1f}"])
+    meta = dict(found.meta)
+    for key, path in (("pbf", map_file), ("schools", facility_file)):
+        meta[f"{key}_file"] = os.path.basename(path)
+        meta[f"{key}_sha256"] = sha256_of_files(spark, path).first()["sha256"]
+    with open(os.path.join(folder, "meta.json"), "w") as f:
+        json.dump(meta, f, indent=2)
+    return meta

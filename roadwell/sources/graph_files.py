@@ -41,6 +41,14 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(decode, "path string, src long, dst long, w long")
 
 
+def graph_sizes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """The numbers of nodes and arcs that a graph file names in its head."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 12).alias("head")).first()["head"]
+    if bytes(head[:4]) != MAGIC:
+        raise ValueError(f"{path} is no graph file")
+    return struct.unpack_from("<II", head, 4)
+
+
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
     """(path, pool_idx, node) of each vector file that path names."""
     ship(spark)

@@ -19,6 +19,12 @@ def grid_size(target: int) -> tuple[int, int]:
     return wide, -(-target // wide) if wide else 0
 
 
+def pool_size(target: int) -> tuple[int, int]:
+    """Nodes of the grid for target nodes, and facilities of its pool: a twentieth of them, 50 at least."""
+    wide, high = grid_size(target)
+    return wide * high, max(wide * high // 20, 50)
+
+
 def grid_candidates(spark: SparkSession, target: int, seed: int) -> DataFrame:
     """(idx, a, b, w): each node's edge to the right and then down, row by row, with drawn weights.
 

@@ -1,7 +1,13 @@
-"""Written tables in the folder that driver and executors share."""
+"""Written tables in the folder that driver and executors share.
+
+Lineage is cut by writing Parquet into the folder of ``spark.checkpoint.dir``, which every executor of
+a cluster can read.  Only a session on one machine (tests, a laptop) may be without one; it gets a
+temporary folder.
+"""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -15,6 +21,8 @@ def work_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: tables need a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="roadwell-")
             spark.sparkContext.setCheckpointDir(base)
@@ -33,6 +41,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that materialise wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(name) for name in df.inputFiles()}:
+        if os.path.basename(folder).startswith("roadwell-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
