@@ -40,9 +40,8 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third supplier."""
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0")
-    return rows.select(F.lit(0).alias("scenario"), F.floor(F.col("s_suppkey") / 3).alias("pos"), F.col("s_suppkey").alias("pool_idx"))
+    """All suppliers."""
+    return table(spark, sf_dir, "supplier").select(F.lit(0).alias("scenario"), F.col("s_suppkey").alias("pos"), F.col("s_suppkey").alias("pool_idx"))
 
 
 def four_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +64,7 @@ def supply_answers(scenarios, metric: str, strategy: str = "graph", both_ways: b
     return query
 
 
-ONE = "SELECT 0 AS s, s_suppkey AS v, min(s_suppkey) AS l FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY s_suppkey"
+ONE = "SELECT 0 AS s, s_suppkey AS v, min(s_suppkey) AS l FROM supplier GROUP BY s_suppkey"
 FOUR = "SELECT CAST(s_suppkey % 4 AS INTEGER) AS s, s_suppkey AS v, min(s_suppkey) AS l FROM supplier GROUP BY s_suppkey"
 
 
@@ -142,8 +141,9 @@ def bfs_level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bfs_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supersteps of a sequential search by hops: levels of each scenario, the last included."""
-    levels = all_labels(spark, sf_dir, "hops").groupBy("scenario").agg((F.max(F.shiftright("label", 32)) + 1).alias("levels"))
-    return levels.agg(F.sum("levels").alias("steps"))
+    from roadwell.plans.trials import levels
+
+    return levels(all_labels(spark, sf_dir, "hops")).agg(F.sum("levels").alias("steps"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -231,6 +231,24 @@ s1 AS (SELECT *, ((xor(z0, z0 >> 30))::UHUGEINT * CAST(13787848793156543929 AS U
 s2 AS (SELECT *, ((xor(z1, z1 >> 27))::UHUGEINT * CAST(10723151780598845931 AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT))::UBIGINT AS z2 FROM s1),
 s3 AS (SELECT *, xor(z2, z2 >> 31) AS z FROM s2)"""
 
+
+
+def draws_sql(seeds: str, n: int, k: int, final: str) -> str:
+    """DuckDB SQL that shuffles the first k of n places for each row of seeds (s, seed), and then selects from drawn(s, i, v)."""
+    src = f"(SELECT s, seed, range AS i FROM {seeds} CROSS JOIN range({k}))"
+    return f"""
+WITH RECURSIVE {SPLITMIX_STEPS.format(seed="seed", i="i", src=src)},
+picks AS MATERIALIZED (SELECT s, CAST(i AS BIGINT) AS i, CAST(i + z % CAST({n} - i AS UBIGINT) AS BIGINT) AS j FROM s3),
+moves(s, i, perm) USING KEY (s) AS (
+  SELECT s, CAST(0 AS BIGINT), range({n}) FROM {seeds}
+  UNION
+  SELECT m.s, m.i + 1, CASE WHEN p.j = p.i THEN perm ELSE
+      perm[1:p.i] || [perm[p.j + 1]] || perm[p.i + 2:p.j] || [perm[p.i + 1]] || perm[p.j + 2:] END
+  FROM moves m JOIN picks p ON p.s = m.s AND p.i = m.i),
+drawn AS (SELECT s, range AS i, perm[range + 1] AS v FROM moves CROSS JOIN range({k}))
+{final}"""
+
+
 GRID_TARGET = 5000
 
 
@@ -371,7 +389,8 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = materialise(crop(points(spark, sf_dir), centre_distance(), 120).select("node"), "kept")
     rows = points(spark, sf_dir)
-    arcs = rows.select(F.col("node").alias("src"), F.explode(F.array(*[(F.col("node") * 7 + k) % 200 for k in (1, 2, 5)])).alias("dst"), F.lit(1).alias("w"))
+    n = rows.count()
+    arcs = rows.select(F.col("node").alias("src"), F.explode(F.array(*[(F.col("node") * 7 + k) % n for k in (1, 2, 5)])).alias("dst"), F.lit(1).alias("w"))
     return renumber(induced(arcs, kept), numbered(kept, ["node"], "rank")).select("src", "dst")
 
 
@@ -601,13 +620,35 @@ def rounded(*names: str) -> str:
 
 
 def run_stats_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the ranks of a run: the longest wall time, least, most and mean computing, mean waiting and transfer, all messages."""
-    lines = table(spark, sf_dir, "lineitem")
-    comp = F.col("l_extendedprice") - F.col("l_discount") - F.col("l_tax")
-    return lines.groupBy((F.col("l_orderkey") % 100).alias("run")).agg(
-        F.max("l_extendedprice").alias("wall"), F.round(F.min(comp), 6).alias("comp_min"), F.round(F.max(comp), 6).alias("comp_max"),
-        F.round(F.avg(comp), 4).alias("comp_mean"), F.round(F.avg("l_discount"), 6).alias("wait_mean"), F.round(F.avg("l_tax"), 6).alias("xfer_mean"),
-        F.sum("l_linenumber").alias("msgs"),
+    """A line of an order stands for a process of the run that the order belongs to."""
+    from roadwell.plans.trials import process_times
+
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 100).alias("run"), F.col("l_extendedprice").alias("wall"), F.col("l_discount").alias("wait"),
+        F.col("l_tax").alias("xfer"), F.col("l_linenumber").alias("msgs"),
+    )
+    found = process_times(rows, "run")
+    return found.select("run", "wall", *SIX("comp_min", "comp_max"), F.round("comp_mean", 4).alias("comp_mean"), *SIX("wait_mean", "xfer_mean"), "msgs")
+
+
+def run_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warm-up and a trial of each strategy on the supply graph, held against the sequential answers; without the times."""
+    from roadwell.plans.trials import RoadGraph
+    from roadwell.plans.trials import run_trials as run
+
+    n, m, arcs = dense_graph(spark, sf_dir)
+    # suppliers have the lowest numbers of all nodes
+    size = table(spark, sf_dir, "supplier").select("s_suppkey").distinct().count()
+    pool = spark.range(size).select(F.col("id").alias("pool_idx"), F.col("id").alias("node"))
+    roads, out = RoadGraph(arcs, n, m, pool, size), None
+    for strategy, p in (("seq", 1), ("source", 3), ("graph", 3), ("scenario", 2)):
+        rows = run(roads, "dijkstra", strategy, p, k=size // 4, q=500, B=3, trials=1, label="supply", verify=True).rows
+        out = rows if out is None else out.unionByName(rows)
+    # rounds and exchanged labels depend on how the graph is cut, the times on the machine
+    counted = (F.col("strategy") != "graph") | (F.col("p") == 1)
+    return out.select(
+        "label", "n", "m", "alg", "strategy", "p", "k", "q", "B", "pool", "trial", F.when(counted, F.col("msgs")).alias("msgs"),
+        F.when(counted, F.col("steps")).alias("steps"), "verified",
     )
 
 
@@ -732,6 +773,7 @@ def queries() -> dict:
         "breakdown_stacked": breakdown_stacked,
         "main_table_pivot": main_table_pivot,
         "run_stats_reduce": run_stats_reduce,
+        "run_trials": run_trials,
         "dijkstra_vs_bfs_diff": dijkstra_vs_bfs_diff,
         "m_per_hop_quantiles": m_per_hop_quantiles,
         "spearman_dist_hops": spearman_dist_hops,
@@ -799,7 +841,7 @@ ranked AS (SELECT row_number() OVER (ORDER BY a, o) - 1 AS idx, a, b FROM edges)
         "haversine_weight": f"WITH pts AS ({DUCK_POINTS}) SELECT a.node, CAST(greatest(1, round_even({DUCK_HAVERSINE.format('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 0)) AS BIGINT) AS w FROM pts a JOIN pts b ON b.node = a.node + 1",
         "centre_crop": f"{crop} SELECT node FROM kept",
         "induced_subgraph": f"""{crop}, num AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS rank FROM kept),
-arcs AS (SELECT node AS src, (node * 7 + k) % 200 AS dst FROM pts, (VALUES (1), (2), (5)) t(k))
+arcs AS (SELECT node AS src, (node * 7 + k) % (SELECT count(*) FROM pts) AS dst FROM pts, (VALUES (1), (2), (5)) t(k))
 SELECT x.rank AS src, y.rank AS dst FROM arcs JOIN num x ON x.node = src JOIN num y ON y.node = dst""",
         "morton_order": f"""WITH pts AS ({DUCK_POINTS}), box AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM pts),
 q AS (SELECT node, CAST(floor((lon - x0) / greatest(x1 - x0, 1e-12) * 65535) AS BIGINT) AS qx, CAST(floor((lat - y0) / greatest(y1 - y0, 1e-12) * 65535) AS BIGINT) AS qy FROM pts, box),
@@ -826,6 +868,25 @@ SELECT o.label, o.alg, o.strategy, coalesce(a.t, '-') AS t_1, coalesce(b.t, '-')
 FROM (SELECT * FROM own WHERE p = 4) o LEFT JOIN t a ON a.label = o.label AND a.alg = o.alg AND a.strategy = o.strategy AND a.p = 1
 LEFT JOIN t b ON b.label = o.label AND b.alg = o.alg AND b.strategy = o.strategy AND b.p = 2
 LEFT JOIN t c ON c.label = o.label AND c.alg = o.alg AND c.strategy = o.strategy AND c.p = 4""",
+        "run_trials": f"""WITH {DENSE_SQL},
+runs(strategy, p) AS (VALUES ('seq', 1), ('source', 3), ('graph', 3), ('scenario', 2)),
+sizes AS (SELECT (SELECT count(*) FROM ids) AS n, (SELECT count(*) FROM dense) AS m, (SELECT count(DISTINCT s_suppkey) FROM supplier) AS pool),
+work AS (SELECT *, CAST(pool // 4 AS INTEGER) AS k, CAST(least(500, n) AS INTEGER) AS q, 3 AS B FROM sizes)
+SELECT 'supply' AS label, n, m, 'dijkstra' AS alg, strategy, p, k, q, B, CAST(pool AS INTEGER) AS pool, CAST(trial AS INTEGER) AS trial,
+  CAST(CASE strategy WHEN 'seq' THEN 0 WHEN 'source' THEN p * B * q WHEN 'scenario' THEN B * q ELSE CASE WHEN p = 1 THEN B * q END END AS BIGINT) AS msgs,
+  CAST(CASE strategy WHEN 'scenario' THEN (B + p - 1) // p WHEN 'graph' THEN CASE WHEN p = 1 THEN B END ELSE B END AS INTEGER) AS steps,
+  CAST(CASE WHEN trial = 0 AND strategy <> 'seq' THEN 1 ELSE -1 END AS INTEGER) AS verified
+FROM work CROSS JOIN runs CROSS JOIN range(2) t(trial)""",
+        "meta_summary": f"""WITH {DENSE_SQL}, {SNAP_SQL}
+SELECT (SELECT count(*) FROM ids) AS nodes, (SELECT count(*) FROM dense) AS edges,
+  (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 9 <> 0) AS listed,
+  (SELECT count(*) FROM snapped WHERE snap_m <= 20000) AS in_pool, (SELECT count(*) FROM snapped WHERE snap_m > 20000) AS dropped""",
+        "query_sample": draws_sql("(SELECT 0 AS s, CAST(42 AS UHUGEINT) AS seed)", 5041, 1008, "SELECT i AS qidx, v AS node FROM drawn"),
+        "scenario_sample": draws_sql(
+            "(SELECT range AS s, CAST(42 * 1000003 + range + 1 AS UHUGEINT) AS seed FROM range(8))", 252, 63,
+            "SELECT CAST(s AS INTEGER) AS scenario, CAST(i AS INTEGER) AS pos, v AS pool_idx FROM drawn",
+        ),
+        "synth_pool": draws_sql(f"(SELECT 0 AS s, CAST({42 ^ 0xABCDEF} AS UHUGEINT) AS seed)", 5041, 252, "SELECT i AS pool_idx, v AS node FROM drawn"),
         "run_stats_reduce": "SELECT l_orderkey % 100 AS run, max(l_extendedprice) AS wall, round(min(l_extendedprice - l_discount - l_tax), 6) AS comp_min, round(max(l_extendedprice - l_discount - l_tax), 6) AS comp_max, round(avg(l_extendedprice - l_discount - l_tax), 4) AS comp_mean, round(avg(l_discount), 6) AS wait_mean, round(avg(l_tax), 6) AS xfer_mean, CAST(sum(l_linenumber) AS BIGINT) AS msgs FROM lineitem GROUP BY 1",
         "dijkstra_vs_bfs_diff": f"WITH {PAIRED_SQL} SELECT graph, k, count(*) AS origins, round(avg(CASE WHEN iw <> ih THEN 1.0 ELSE 0.0 END), 6) AS nearest_school_differs, round(avg(dw) / 1000, 6) AS mean_road_km, round(avg(dh), 6) AS mean_hops FROM two GROUP BY graph, k",
         "m_per_hop_quantiles": f"WITH {PAIRED_SQL} SELECT graph, k, round(quantile_cont(mph, 0.25), 6) AS iqr_m_per_hop_lo, round(quantile_cont(mph, 0.5), 6) AS median_m_per_hop, round(quantile_cont(mph, 0.75), 6) AS iqr_m_per_hop_hi FROM {moved} GROUP BY graph, k",
