@@ -3,7 +3,7 @@
 A text's bytes, lower-cased and with every run of non-letters as one space, give grams of two to
 four bytes.  Each gram is hashed to an embedding; their average goes through a linear softmax.
 Embeddings and weights are trained together by stochastic gradient descent in numpy on a sample of
-at most about ``ROWS`` labelled rows, taken from all of them by the hash of the id.  A fifth of the sample is not
+at most ``ROWS`` labelled rows of each language, those of the least hash of id and text.  A fifth of the sample is not
 trained on: it gives the temperature that makes scores probabilities, and the score below which a
 prediction is rejected so that those accepted are right as often as ``PRECISION`` says.
 
@@ -17,23 +17,20 @@ columns are ignored; with no labelled row to learn from every text is ``und``.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadwell.llm.shared import ship
 
-#: Labelled rows to learn from, about; the only bound on what is read.
-ROWS = 4000
+#: Labelled rows of a language to learn from; the only bound on what is read.
+ROWS = 1000
 BITS, DIMENSIONS, EPOCHS, RATE = 15, 12, 6, 0.6
 PRECISION = 0.99
 ROUND = 20_000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
@@ -59,15 +56,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 class Model:
     """languages, one row of the table for each gram, a bias, the temperature and the least score."""
 
-    def __init__(self, texts: list[str], labels: list[str], seed: int = 7):
+    def __init__(self, texts: list, labels: list[str], seed: int = 7):
+        """texts, or their different grams with how often each occurs; labels are their languages."""
         self.languages = sorted(set(labels))
         number = {x: k for k, x in enumerate(self.languages)}
-        found = [(g, number[y]) for t, y in zip(texts, labels) if len(g := grams(t))]
+        held = [np.unique(grams(t), return_counts=True) if isinstance(t, str) else t for t in texts]
+        found = [(g, times, number[y]) for (g, times), y in zip(held, labels) if len(g)]
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(found))
         tuned = [found[i] for i in order[: len(found) // 5]]
-        found = [found[i] for i in order[len(found) // 5 :]]
-        counts = [(*np.unique(g, return_counts=True), y) for g, y in found]
+        counts = [found[i] for i in order[len(found) // 5 :]]
         table = rng.normal(0, 0.1, (3 << BITS, DIMENSIONS)).astype(np.float32)
         weights = np.zeros((len(self.languages), DIMENSIONS), np.float32)
         bias = np.zeros(len(self.languages), np.float32)
@@ -88,8 +86,8 @@ class Model:
         self.bias = bias
         self.temperature, self.least = 1.0, 0.0
         if tuned:
-            logits = np.array([self.logits(g) for g, _ in tuned])
-            truth = np.array([y for _, y in tuned])
+            logits = np.array([self.logits(np.repeat(g, times)) for g, times, _ in tuned])
+            truth = np.array([y for _, _, y in tuned])
             choices = np.geomspace(0.25, 8, 60)
             loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in choices]
             self.temperature = float(choices[int(np.argmin(loss))])
@@ -106,22 +104,51 @@ class Model:
         return total / len(found) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         chance = softmax(self.logits(grams(text)) / self.temperature)
         best = int(chance.argmax())
         return self.languages[best], float(chance[best])
 
 
+def sample_of(docs: DataFrame, rows: int) -> DataFrame:
+    """Of each language's labelled rows at most rows, those of the least hash of id and text: (lang, h, text).
+
+    First a share of each language's rows by hash, about twice as many as wanted, then the least of
+    them; so no window ever holds a language whole.
+    """
+    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # as many rows as languages, which the softmax has a row of weights for each
+    share = F.when(F.col("n") <= 2 * rows, F.lit(1.0)).otherwise(F.lit(2.0 * rows) / F.col("n"))
+    some = labelled.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")
+    some = some.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return some.withColumn("place", place).where(F.col("place") <= rows).select("lang", "h", "text")
+
+
 def train(docs: DataFrame, rows: int = ROWS) -> Model:
-    """A model of the labelled rows of docs (text, lang, doc_id)."""
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    n = labelled.count()
-    share = min(1.0, rows / max(1, n))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = labelled.where(place | F.lit(share == 1.0)).select("doc_id", "text", "lang").limit(2 * rows).collect()
-    sample.sort(key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))
-    return Model([r["text"] for r in sample], [r["lang"] for r in sample])
+    """A model of the labelled rows of docs (text, lang, doc_id), of at most rows of each language.
+
+    Executors turn texts into counts of grams; only those come to the driver.
+    """
+    ship(docs.sparkSession)
+
+    def count(batches):
+        for batch in batches:
+            found = [np.unique(grams(t), return_counts=True) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array([g.astype("<u4").tobytes() for g, _ in found], pa.binary()),
+                    pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary()),
+                ],
+                ["lang", "h", "grams", "times"],
+            )
+
+    found = sample_of(docs, rows).mapInArrow(count, "lang string, h long, grams binary, times binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["h"], r["grams"]))
+    number = lambda raw: np.frombuffer(raw, "<u4")
+    return Model([(number(r["grams"]), number(r["times"])) for r in found], [r["lang"] for r in found])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

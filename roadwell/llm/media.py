@@ -178,15 +178,18 @@ def decode(data: bytes) -> list[Track]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """docs with the columns n_bytes (of the text) and media (the file that holds it)."""
+    """docs with the columns n_bytes (of the text) and media (the file that holds it).
+
+    Columns of docs with those names give way to the new ones, those called _raw and the like stay.
+    """
     ship(docs.sparkSession)
-    held = docs.withColumn("n_bytes", F.octet_length(whole_text()).cast("long")).withColumn(
-        "media", F.encode(whole_text(), "utf-8")
-    )
+    names = [c for c in docs.columns if c not in ("n_bytes", "media")]
+    raw = F.encode(whole_text(), "utf-8")
+    held = docs.select(*[F.col(f"`{c}`") for c in names], F.octet_length(whole_text()).cast("long").alias("n_bytes"), raw.alias("media"))
 
     def store(batches):
         for batch in batches:
-            k = batch.schema.get_field_index("media")
+            k = len(names) + 1
             for lo in range(0, max(1, batch.num_rows), 512):
                 some = batch.slice(lo, 512)
                 files = []
@@ -198,7 +201,11 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def probe(media: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep with what the boxes of the column media say, and checksums of the samples."""
+    """The columns of keep with what the boxes of the column media say, and checksums of the samples.
+
+    A null value has nulls alone, and so has one that is no such file, but for its length, its
+    checksum and the feature damaged.
+    """
     ship(media.sparkSession)
     columns = media.select(*keep, "media")
     found = {
@@ -206,16 +213,20 @@ def probe(media: DataFrame, keep: list[str]) -> DataFrame:
         "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
     }
 
-    def look(raw: bytes) -> tuple:
-        track = decode(raw)[0]
+    def look(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * len(found)
+        own = len(raw), hashlib.sha256(raw).hexdigest()
+        try:
+            track = decode(raw)[0]
+            seconds = track.duration / track.timescale
+        except (ValueError, IndexError, KeyError, struct.error, ZeroDivisionError):
+            return (None, None, None, *own, "damaged")
         view = memoryview(raw)
         payload = b"".join(view[a:b] for a, b in track.extents)
         keys = ",".join(f"{a}-{b}" for a, b in track.keyframes)
-        feature = f"codec={track.codec};seconds={track.duration / track.timescale:.6f};samples={len(track.sizes)};keyframes={keys}"
-        return (
-            len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]),
-            len(raw), hashlib.sha256(raw).hexdigest(), feature,
-        )
+        feature = f"codec={track.codec};seconds={seconds:.6f};samples={len(track.sizes)};keyframes={keys}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), *own, feature
 
     def read(batches):
         for batch in batches:

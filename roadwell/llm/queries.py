@@ -85,8 +85,6 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
         "op1_token_files": op1_token_files,
         "op2_media_columns": op2_media_columns,
@@ -98,7 +96,6 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_main_text": op10_main_text,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1,20 +1,15 @@
-"""What the corpus operators share: reading tables, cutting lineage, shipping code.
-
-Lineage is cut by writing Parquet into the folder of ``spark.checkpoint.dir``, which every
-executor of a cluster can read.  The folder is taken from the session; only a session without
-one (tests, a laptop) gets a temporary folder.
-"""
+"""What the corpus operators share: words and white space as columns, and the tables and shipping of the rest."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from roadwell.shipping import ship
+from roadwell.storage import drop, materialise, new_folder, table
+
+__all__ = ["drop", "materialise", "new_folder", "ship", "table"]
+
 #: The white space that ends a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression class.
@@ -22,62 +17,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            base = found.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="roadwell-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/roadwell-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read again: the plan above it starts from files."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that materialise wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    folders = {os.path.dirname(name) for name in df.inputFiles()}
-    for folder in folders:
-        if os.path.basename(folder).startswith("roadwell-"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_roadwell_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="roadwell-code-"), "roadwell-code.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
-    context.addPyFile(archive)
-    context._roadwell_shipped = True
-
-
 def whole_text(column: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,8 +9,7 @@ its members at once in carry-save counters, and a block of members is left as so
 distance exceeds the radius.
 
 Exact copies are one fingerprint before any comparison.  A bucket gives a forest of links, never
-all its pairs; buckets beyond ``BLOCK`` members are compared block against block in tasks of their
-own.  Components come from alternating large-star and small-star rounds over written tables.
+all its pairs; buckets beyond ``BLOCK`` members are dealt out by half of the bits they do not share.  Components come from alternating large-star and small-star rounds over written tables.
 
 Defined results: null, empty and blank texts have the fingerprint zero and link like any other;
 a null doc_id is never a component's id unless all of it are null; repeated rows each keep their
@@ -29,10 +28,12 @@ from pyspark.sql import functions as F
 from roadwell.llm import shingles
 from roadwell.llm.shared import materialise, ship, whole_text
 
-#: Members of a bucket that one task compares with each other.
+#: Members of a bucket that one task compares with each other; larger buckets are dealt out by more bits.
 BLOCK = 4096
-PARTS = 4
-ROUNDS = 60
+#: Runs into which free bits are cut, and the most bits by which a pair that shares half of the runs may differ.
+PARTS, MOST = 4, 2
+#: Rows that may be broadcast.
+SMALL = 1_000_000
 
 
 def fingerprint(words: list[bytes], width: int, digest) -> int:
@@ -161,57 +162,44 @@ def small_links(keys: np.ndarray, values: np.ndarray, most: int, radius: int) ->
     return out_a, out_b, np.flatnonzero(sizes > most)
 
 
-def links_between(prints: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that together join all that are linked.
+def halved(free: int) -> list[int]:
+    """Masks of half of the free bits each: all choices of two of four runs of them.
 
-    prints has distinct values in fp.  Only buckets with two members or more are compared.
+    Values that agree elsewhere and differ in at most two bits agree on one of the choices.
     """
-    spark = prints.sparkSession
-    ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = 64 // PARTS
-    choices = list(combinations(range(PARTS), PARTS - radius))
-    keys = []
-    for k, choice in enumerate(choices):
-        mask = sum(((1 << wide) - 1) << (wide * p) for p in choice)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        # the choice's number goes where the mask leaves bits free, so keys of two choices differ
-        free = next(wide * p for p in range(PARTS) if p not in choice)
-        label = (k + 1) << free
-        label = label - (1 << 64) if label >= 1 << 63 else label
-        keys.append(F.col("fp").bitwiseAND(F.lit(signed)).bitwiseOR(F.lit(label)))
-    buckets = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    crowds = buckets.groupBy("key").count().where(F.col("count") > 1)
-    crowds = materialise(crowds, "simhash-crowds")
-    pieces = F.ceil(F.col("count") / BLOCK).cast("int")
-    placed = buckets.join(crowds, "key").withColumn("pieces", pieces)
-    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    # a bucket of p blocks has a task for each pair of blocks; member m of block i goes to i's pairs
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("pieces") - 1),
-        lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")),
-    )
-    dealt = placed.select("key", "fp", own.alias("block"), F.explode(pairs).alias("pair"))
-    dealt = dealt.select("key", "pair.i", "pair.j", "block", "fp")
-    dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    places = [b for b in range(64) if free >> b & 1]
+    wide = len(places) // PARTS
+    runs = [sum(1 << b for b in places[k * wide : (k + 1) * wide]) for k in range(PARTS)]
+    return [a | b for a, b in combinations(runs, PARTS - MOST)]
+
+
+def finer(masks: list[int]) -> dict[int, list[int]]:
+    """For each mask of agreeing bits those that add half of the others, as signed numbers."""
+    return {m: [_signed(m | more) for more in halved(~m & (1 << 64) - 1)] for m in masks}
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def in_bucket(dealt: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) that join all linked fingerprints of each bucket (mask, bits)."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches):
         held = None
 
         def solve(group: pa.Table):
-            key, i, j, block, fp = (group.column(c).to_numpy() for c in range(5))
+            mask, bits, fp = (group.column(c).to_numpy() for c in range(3))
             value = np.ascontiguousarray(fp).view(np.uint64)
-            ids = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            ids = np.cumsum(np.concatenate([[True], (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])]))
             a, b, large = small_links(ids, value, 48, radius)
             if a:
                 yield np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
             starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             for k in large:
-                lo, hi = starts[k], starts[k + 1] if k + 1 < len(starts) else len(ids)
-                left, right = value[lo:hi], value[lo:hi]
-                if i[lo] != j[lo]:
-                    left, right = left[block[lo:hi] == i[lo]], right[block[lo:hi] == j[lo]]
-                links = forest(left, right, radius)
+                own = value[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(ids)]
+                links = forest(own, own, radius)
                 if links:
                     yield np.array([x for x, _ in links]), np.array([y for _, y in links])
 
@@ -222,18 +210,55 @@ def links_between(prints: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             new = pa.Table.from_batches([batch])
             held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
-            last = [held.column(c)[-1].as_py() for c in range(3)]
-            same = np.logical_and.reduce([held.column(c).to_numpy() == last[c] for c in range(3)])
-            cut = int(np.argmax(same))  # whole groups lie before; a group has 2 BLOCK members or so
+            last = [held.column(c)[-1].as_py() for c in range(2)]
+            same = np.logical_and.reduce([held.column(c).to_numpy() == last[c] for c in range(2)])
+            cut = int(np.argmax(same))  # whole buckets lie before
             if cut:
                 yield from emit(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
         if held is not None and held.num_rows:
             yield from emit(held.combine_chunks())
 
+    dealt = dealt.select("mask", "bits", "fp").repartition(n, "mask", "bits").sortWithinPartitions("mask", "bits")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def links_between(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of different fingerprints that together join all that are linked; prints has distinct values in fp.
+
+    Fingerprints meet in buckets of 32 bits that they share.  A bucket with more than BLOCK members
+    is dealt out again by half of its other bits, and those by half of theirs; 56 shared bits leave
+    at most 256 members.
+    """
+    if radius > MOST:
+        raise ValueError(f"buckets hold pairs within {MOST} bits")
+    spark = prints.sparkSession
+    ship(spark)
+    masks = halved((1 << 64) - 1)
+    keys = [F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for m in masks]
+    rows = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.mask", "key.bits", "fp")
+    links = None
+    for level in range(3):
+        if level < 2:
+            crowds = rows.groupBy("mask", "bits").count().where(F.col("count") > BLOCK).select("mask", "bits", F.lit(True).alias("crowd"))
+            crowds = materialise(crowds, "simhash-crowds")
+            # a crowd has more than BLOCK rows, so there are few; beyond SMALL the join is dealt out like any other
+            many = crowds.count()
+            rows = rows.join(F.broadcast(crowds) if many <= SMALL else crowds, ["mask", "bits"], "left")
+        else:
+            rows, many = rows.withColumn("crowd", F.lit(None).cast("boolean")), 0
+        found = in_bucket(rows.where("crowd IS NULL"), radius)
+        links = found if links is None else links.unionByName(found)
+        if not many:
+            return links
+        below = finer(masks)
+        more = F.create_map(*[x for m, own in below.items() for x in (F.lit(_signed(m)), F.array(*map(F.lit, own)))])
+        rows = rows.where("crowd").select(F.explode(F.element_at(more, F.col("mask"))).alias("mask"), "fp")
+        rows = materialise(rows.withColumn("bits", F.col("mask").bitwiseAND(F.col("fp"))).distinct(), "simhash-finer")
+        masks = sorted({m % (1 << 64) for own in below.values() for m in own})
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of the links (a, b): the smallest node it is joined to.
 
@@ -245,7 +270,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = materialise(both, "components")
     before = None
-    for _ in range(ROUNDS):
+    while True:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -257,8 +282,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == before and now[0] == now[2]:
             break
         before = now
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )
@@ -284,8 +307,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     not by their fingerprints: no radius holds all such pairs.  A row whose doc_id is null links like
     any other and stays.  Of different texts that share the smallest doc_id the one of the least hash stays.
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", whole_text()))
-    marked = materialise(shingles.add_sketches(rows, ["doc_id", "_row"]), "near-sketches")
+    names = docs.columns
+    # the row as a struct: whatever its columns are called, they meet none of those made here
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"), "doc_id", "text")
+    rest = [F.col("_all").getField(c) for c in names if c not in ("doc_id", "text")]
+    rows = held.withColumn("_row", F.xxhash64("doc_id", whole_text())).withColumn("_rest", F.xxhash64(F.lit(0), *rest))
+    marked = materialise(shingles.add_sketches(rows, ["doc_id", "_row", "_rest"]), "near-sketches")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))
     texts = marked.groupBy("key").agg(first.alias("first"), F.min("_row").alias("_row"), F.any_value("bands").alias("bands"))
     texts = materialise(texts, "near-texts")
@@ -294,9 +321,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     pieces = F.coalesce(F.ceil(F.col("count") / shingles.BLOCK), F.lit(1)).cast("int")
     placed = stars.join(F.broadcast(crowds), "label", "left").select(F.col("node").alias("key"), "label", pieces.alias("pieces"))
     placed = placed.join(texts.select("key", "_row"), "key")
-    held = rows.select("_row", "text").join(placed, "_row").dropDuplicates(["_row"])
-    groups = materialise(components(shingles.alike(held)), "near-groups")
+    own = rows.select("_row", "text").join(placed, "_row").dropDuplicates(["_row"])
+    groups = materialise(components(shingles.alike(own)), "near-groups")
     labels = texts.select("key", "first").join(groups, texts["key"] == groups["node"], "left")
     firsts = labels.groupBy(F.coalesce("label", "key")).agg(F.min("first").alias("first")).where("first IS NOT NULL").select("first._row")
-    kept = rows.where("doc_id IS NOT NULL").join(firsts, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    # of rows alike in id and text that one stays whose other columns have the least hash
+    least = marked.groupBy("_row").agg(F.min("_rest").alias("_rest"))
+    kept = rows.where("doc_id IS NOT NULL").join(firsts.join(least, "_row"), ["_row", "_rest"], "left_semi").dropDuplicates(["_row"]).select("_all")
+    out = kept.unionByName(held.where("doc_id IS NULL").select("_all"))
+    return out.select(*[F.col("_all").getField(c).alias(c) for c in names])
