@@ -1,8 +1,10 @@
 """Operator 10: main-text extraction by gradient-boosted trees over DOM nodes.
 
-Each block-level node is described by its subtree's text, link and tag density, the words of its
-class, id and role, its depth, and how it stands among its siblings.  Boosted trees, trained here
-on pages made by a seeded generator, give the log odds that the node holds article text.  Decoding
+Each block-level node is described by its subtree's text, link and tag density, its tokens (its tag
+and the words of class, id and role) and those of the nodes above it, its depth, and how it stands
+among its siblings.  Tokens are hashed, and what each is worth is learned with the rest: the log odds
+that a node with it holds article text.  Boosted trees, trained here on pages made by a seeded
+generator, of which some have class names without a meaning, give a node's log odds.  Decoding
 is hierarchical: of all labelings in which no node is kept whose ancestor is not, the one with the
 greatest sum is taken, so ancestors and descendants never contradict each other.
 
@@ -15,7 +17,10 @@ an empty result.
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +29,32 @@ from pyspark.sql import DataFrame
 from roadwell.llm.dom import Node, read
 from roadwell.llm.shared import ship
 
-#: Words of class, id and role that tell what an element is for (fixed values).
-AROUND = frozenset(
-    "ad ads advert advertisement advertising banner bar breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "discussion disqus dropdown feedback footer form header links login masthead menu meta modal nav navbar navigation "
-    "newsletter notice overlay pager pagination popup promo promoted promotion recommend recommended related replies "
-    "reply respond search share sharing sidebar signup site skip social sponsor sponsored subscribe tags toolbar topbar "
-    "tracking trending warning widget".split()
-)
-REMARKS = frozenset("comment comments discussion disqus replies reply respond feedback".split())
-INSIDE = frozenset("article body content entry main page post story text".split())
-AWAY_TAGS = frozenset("nav aside footer header form button select option label fieldset menu dialog noscript template svg head legend".split())
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HOLDERS = frozenset("article main".split())
+TOKENS = 1 << 14
+#: Nodes with a token that weigh as much as the belief that it says nothing.
+DOUBT = 5.0
 TREES, DEPTH, BINS, SHRINK = 60, 4, 32, 0.25
 
 
-def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
+def tokens(x: Node) -> list[int]:
+    """The hashed tokens of a node."""
+    return [crc32(t.encode()) % TOKENS for t in {f"<{x.tag}", *x.words}]
+
+
+def token_weights(pages: list[tuple[list[Node], np.ndarray]]) -> np.ndarray:
+    """What each token is worth: pages are nodes with whether they hold article text."""
+    good, all_ = np.zeros(TOKENS), np.zeros(TOKENS)
+    for nodes, label in pages:
+        for x, y in zip(nodes, label.tolist()):
+            for t in tokens(x):
+                good[t] += y
+                all_[t] += 1
+    share = sum(float(y.sum()) for _, y in pages) / max(1, sum(len(y) for _, y in pages))
+    odds = np.log((good + DOUBT * share) / (all_ - good + DOUBT * (1 - share)))
+    return (odds - np.log(share / (1 - share))).astype(np.float32)
+
+
+def features(nodes: list[Node], blocks: list[tuple[int, str]], weights: np.ndarray) -> np.ndarray:
     """One row for each node."""
     n = len(nodes)
     texts = [x.texts for x in nodes]
@@ -65,29 +78,24 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
         paragraphs[p] += paragraphs[k]
         items[p] += items[k]
         marks[p] += marks[k]
+    # how often each tag stands among the children of a node
+    alike = [Counter(nodes[s].tag for s in x.children) for x in nodes]
     whole = max(1, texts[0])
-    rows = np.zeros((n, 24), np.float32)
-    away, remark, holder, inside = [0] * n, [0] * n, [0] * n, [0] * n
+    rows = np.zeros((n, 22), np.float32)
+    worst, best, total = [0.0] * n, [0.0] * n, [0.0] * n
     for k, x in enumerate(nodes):
-        words = set(x.words)
-        own_away, own_remark = len(words & AROUND), len(words & REMARKS)
-        own_inside = len(words & INSIDE)
+        own = weights[tokens(x)].tolist()
+        low, high = min(own), max(own)
         p = x.parent if k else 0
+        # of the nodes above and this one: the worst and the best token, and all together
         if k:
-            away[k] = away[p] + int(x.tag in AWAY_TAGS) + own_away
-            remark[k] = remark[p] + own_remark
-            holder[k] = holder[p] + int(x.tag in HOLDERS)
-            inside[k] = inside[p] + own_inside
-        parent = nodes[p]
-        siblings = parent.children
-        alike = sum(nodes[s].tag == x.tag for s in siblings) if len(siblings) < 400 else 400
+            worst[k], best[k], total[k] = min(worst[p], low), max(best[p], high), total[p] + sum(own)
         length = texts[k]
         rows[k] = (
             x.depth, length, links[k] / max(1, length), length / max(1, tags[k] + 1), marks[k] / max(1, length), paragraphs[k],
-            items[k], x.texts / max(1, length), length / whole, first[k] / whole, len(siblings), alike,
-            length / max(1, texts[p]), links[p] / max(1, texts[p]), int(x.tag in AWAY_TAGS), int(x.tag in TEXT_TAGS),
-            int(x.tag in HEADINGS), int(x.tag in HOLDERS), own_away, own_remark, own_inside, away[p] if k else 0,
-            remark[p] if k else 0, (holder[p] if k else 0) + 0.5 * min(1, inside[p] if k else 0),
+            items[k], x.texts / max(1, length), length / whole, first[k] / whole, len(nodes[p].children), alike[p][x.tag] if k else 0,
+            length / max(1, texts[p]), links[p] / max(1, texts[p]), int(x.tag in HEADINGS), low, high, sum(own),
+            worst[p] if k else 0, best[p] if k else 0, total[p] if k else 0, len(own),
         )
     return rows
 
@@ -95,7 +103,8 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
 class Trees:
     """Gradient-boosted regression trees for the logistic loss, on histograms of binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None):
+        self.weights = weights
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
         binned = self._binned(x)
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
@@ -166,8 +175,10 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
 class Generator:
     """Pages with known article text, to train on: (html, texts of the article's blocks)."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, nameless: float = 0.15):
+        """nameless: the share of pages whose class names and ids have no meaning."""
         self.r = random.Random(seed)
+        self.nameless = nameless
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -245,7 +256,7 @@ class Generator:
         parts, truth = [f"<h1>{title}</h1>"], [title]
         if r.random() < 0.2:
             parts = [f"<header><h1>{title}</h1></header>"]
-        for _ in range(r.choice((1, 1, 2, 4, 6, 9, 14))):
+        for _ in range(r.randint(30, 600) if r.random() < 0.03 else r.choice((1, 1, 2, 4, 6, 9, 14))):
             html, texts = self.block()
             parts.append(html)
             truth += texts
@@ -258,6 +269,11 @@ class Generator:
         before = "".join(self.around() for _ in range(r.randint(0, 4)))
         after = "".join(self.around() for _ in range(r.randint(0, 4)))
         end = r.choice(("</body></html>", ""))
+        if r.random() < self.nameless:
+            # tags alone tell what a part is for: what stood there by its name gets a tag for it
+            before, after = (re.sub(r"<(/?)(?:div|section|ol)\b(?! class=comment>)", r"<\1aside", x) for x in (before, after))
+            hide = lambda m: f'{m[1]}="{"".join(r.choice("bcdfghjkmnpqrtvwxz0123456789") for _ in range(6))}"'
+            before, body, after = (re.sub(r"\b(class|id)=(?:\"[^\"]*\"|\w+)", hide, x) for x in (before, body, after))
         head = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
         return head + before + "<!-- x -->" + body + after + end, truth
 
@@ -265,7 +281,7 @@ class Generator:
 @cache
 def trained(pages: int = 1200, seed: int = 11) -> Trees:
     """Trees trained on the generator's pages; the same for each run."""
-    made, xs, ys = Generator(seed), [], []
+    made, read_pages = Generator(seed), []
     for _ in range(pages):
         html, truth = made.page()
         nodes, blocks = read(html)
@@ -277,16 +293,20 @@ def trained(pages: int = 1200, seed: int = 11) -> Trees:
                 good[k] = 1
         for k in range(len(nodes) - 1, 0, -1):
             good[nodes[k].parent] = max(good[nodes[k].parent], good[k])
+        read_pages.append((nodes, blocks, good))
+    weights = token_weights([(nodes, good) for nodes, _, good in read_pages])
+    xs, ys = [], []
+    for nodes, blocks, good in read_pages:
         shown = np.array([x.texts > 0 or bool(x.children) for x in nodes])
-        xs.append(features(nodes, blocks)[shown])
+        xs.append(features(nodes, blocks, weights)[shown])
         ys.append(good[shown])
-    return Trees(np.concatenate(xs), np.concatenate(ys))
+    return Trees(np.concatenate(xs), np.concatenate(ys), weights)
 
 
 def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
     """The main text of each page."""
     parsed = [read(p or "") for p in pages]
-    rows = [features(*x) for x in parsed]
+    rows = [features(*x, trees.weights) for x in parsed]
     odds = trees.log_odds(np.concatenate(rows)) if rows else np.empty(0)
     out, at = [], 0
     for (nodes, blocks), own in zip(parsed, rows):

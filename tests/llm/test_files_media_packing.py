@@ -144,3 +144,13 @@ def test_repeated_and_null_ids_are_packed_each(spark):
     rows = packing.pack_documents(frame, vocabulary("word_bpe_49k.json")).collect()
     assert sorted((r.doc_id is None, r.length) for r in rows) == [(False, 3), (False, 3), (True, 2)]
     assert packing.pack_documents(frame, vocabulary("word_bpe_49k.json")).select(F.count_distinct("sequence_id")).first()[0] == 1
+
+
+def test_media_of_any_value(spark):
+    good = media.sound_file(b"x" * 64)
+    frame = spark.createDataFrame([(1, good), (2, None), (3, b""), (4, b"no box at all"), (5, good[:-90])], "doc_id long, media binary")
+    rows = media.probe(frame, ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.payload_bytes for r in rows] == [64, None, None, None, None]
+    assert [r.feature == "damaged" for r in rows] == [False, False, True, True, True] and rows[1].media_bytes is None
+    stored = media.to_media(spark.createDataFrame([(1, "a", "own", 7)], "doc_id long, text string, media string, n_bytes int"))
+    assert stored.columns == ["doc_id", "text", "n_bytes", "media"] and stored.first().n_bytes == 1

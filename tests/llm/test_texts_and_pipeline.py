@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -84,6 +86,87 @@ def test_terms_far_from_their_entity(spark):
     assert all(clean[i] == texts[i] for i in range(6, len(texts)))
 
 
+def brute_told(texts):
+    """Terms that disclose an entity, by the formulas one pair at a time."""
+    held = [set(brute(t)) for t in texts]
+    terms = []
+    for t in texts:
+        words = [re.fullmatch(r"[^\w]*([^\W\d_](?:[^\W\d_]|['-]){2,})[^\w]*", w) for w in re.split(r"[\x20\x09-\x0D]", t)]
+        terms.append({m[1].lower() for m in words if m})
+    entities = {}
+    for i, t in enumerate(texts):
+        for s in held[i]:
+            kind, a, b = s.split(":")
+            for e in ((kind, t[int(a) : int(b)].lower()), kind, "any"):
+                entities.setdefault(e, set()).add(i)
+    total, told = len(texts), set()
+    entities = {e: rows for e, rows in entities.items() if len(rows) >= 2}
+    every = set().union(*terms)
+    for e, rows in entities.items():
+        q = len(rows) / total
+        for term in every:
+            n = sum(term in x for x in terms)
+            both = sum(term in terms[i] for i in rows)
+            if both < 2 or q == 1:
+                continue
+            p = both / n
+            bits = n * (p * math.log2(p / q) + ((1 - p) * math.log2((1 - p) / (1 - q)) if p < 1 else 0))
+            if math.log2(p / q) >= -sanitise.DISCLOSURE * math.log2(q) and 2 * both >= n and bits >= math.log2(len(entities) * len(every) / sanitise.CHANCE):
+                told.add(term)
+    return told
+
+
+def test_told_terms_against_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randint(2, 4)))
+    texts = []
+    for k in range(120):
+        words = [word() for _ in range(25)]
+        if k % 6 == 0:
+            words += [f"user{k % 4}@mail{k % 3}.org", "(Contact)" if k % 12 == 0 else "contact,"]
+        if k % 24 == 0:
+            words += ["account-holder", "contact"]
+        if k % 40 == 1:
+            words += ["contact"]
+        rnd.shuffle(words)
+        texts.append(" ".join(words))
+    told = brute_told(texts)
+    assert "contact" in told
+    found = {texts[r.doc_id][s.start : s.stop].lower() for r in sanitise.find_spans(docs(spark, texts)).collect() for s in r["all"] if s.kind == 4}
+    assert found == told
+    # the same where terms are joined instead of listed
+    import unittest.mock
+
+    with unittest.mock.patch.object(sanitise, "LISTED", 0):
+        joined = {texts[r.doc_id][s.start : s.stop].lower() for r in sanitise.find_spans(docs(spark, texts)).collect() for s in r["all"] if s.kind == 4}
+    assert joined == told
+
+
+def test_terms_are_found_on_the_given_documents(spark):
+    rows = sanitise.find_spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("exists(all, s -> s.kind = 4)")
+    assert rows.count() > 50
+
+
+def test_thousands_of_matches(spark):
+    text = "é a@b.co, " * 30_000
+    (row,) = sanitise.find_spans(docs(spark, [text])).collect()
+    assert len(row.base) == 30_000 and [row.base[k].start for k in (0, 1, 29_999)] == [2, 12, 299_992]
+    (clean,) = sanitise.sanitise(docs(spark, [text])).collect()
+    assert clean.text == "é [EMAIL], " * 30_000
+
+
+@pytest.mark.parametrize("name", ["all", "_key", "_first", "_plans", "_row", "_text", "media", "spans", "pattern", "_cut", "_at", "key"])
+def test_stages_keep_columns_of_any_name(spark, name):
+    text = "These are some words about a thing that anybody could have written down, with one or two more of them at the end."
+    rows = [(1, text, "en", "s", None, 5), (2, text + " Write to a@b.co or call.", "en", "s", 3, 6), (None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, `{name}` int")
+    for label, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, "")
+        assert got.columns == frame.columns, label
+        held = {r.doc_id: r[name] for r in got.collect()}
+        assert held.get(1, 5) == 5 and held.get(2, 6) == 6, label
+
+
 def test_sanitise_keeps_the_rest(spark):
     texts = ["é a@b.co 1.2.3.4 end", None, "", "+1 555 000 1111", "4111111111111111"]
     frame = docs(spark, texts)
@@ -103,6 +186,37 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_scores_against_plain_averages(spark):
+    """The table of a gram's scores averaged over a text is what grams, embeddings and softmax say one by one."""
+    model = langid.Model(["the cat and the dog of the house"] * 20 + ["le chat et la souris de la maison"] * 20, ["en"] * 20 + ["fr"] * 20)
+    for text in ("the dog", "Une souris!", "été à la plage, 12 chats", "x"):
+        raw = (" " + " ".join(re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()) and [w.decode() for w in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())]) + " ").encode()
+        sums, count = np.zeros(2), 0
+        for width, prime in ((2, 2654435761), (3, 2246822519), (4, 3266489917)):
+            for i in range(len(raw) - width + 1):
+                value = int.from_bytes(raw[i : i + width], "big")
+                place = (value * prime % (1 << 32) >> 32 - langid.BITS) + ((width - 2) << langid.BITS)
+                sums += model.table[place]
+                count += 1
+        odds = (sums / count + model.bias) / model.temperature
+        chance = np.exp(odds - odds.max()) / np.exp(odds - odds.max()).sum()
+        assert model.predict(text) == (model.languages[int(chance.argmax())], pytest.approx(float(chance.max()), abs=1e-6))
+
+
+def test_language_sample_holds_rare_languages(spark):
+    rows = [(1, "the cat sat", "en", "s", None, "x", 1)] * 300 + [(None, f"la souris {k}", "fr", "s", None, "x", 1) for k in range(5)] + [(3, None, "de", "s", None, "x", 1)]
+    found = langid.sample_of(spark.createDataFrame(rows, SCHEMA), 20).groupBy("lang").count().collect()
+    counts = {r["lang"]: r["count"] for r in found}
+    # equal rows have one hash, and so fall in or out together
+    assert counts["fr"] == 5 and counts.get("en", 0) in (0, 20) and set(counts) <= {"en", "fr"}
+
+
+def test_no_letter_is_no_language(spark):
+    model = langid.Model(["the cat"] * 5 + ["le chat"] * 5, ["en"] * 5 + ["fr"] * 5)
+    rows = langid.identify(docs(spark, ["²½", "Ⅷ", "_", "ª", "5 %"]), model, ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in rows] == [True, True, True, False, True]
+
+
 def test_language_edges(spark):
     model = langid.Model(["the cat and the dog"] * 10 + ["le chat et la souris"] * 10, ["en"] * 10 + ["fr"] * 10)
     texts = [None, "", "123 !?", "the dog", "LA SOURIS", "é", "x" * 100_000, "\ud83d".encode("utf-16", "surrogatepass").decode("utf-16", "ignore")]
@@ -140,6 +254,48 @@ def test_main_text_of_generated_pages():
     assert right >= 140
 
 
+def test_main_text_without_telling_names():
+    """Pages whose class names and ids say nothing: tags and structure alone."""
+    made = htmltext.Generator(4712, nameless=1.0)
+    right = 0
+    for _ in range(150):
+        html, truth = made.page()
+        right += htmltext.main_texts([html], htmltext.trained())[0].split("\n\n") == [" ".join(t.split()) for t in truth]
+    assert right >= 110
+
+
+def test_decoding_against_all_labelings():
+    """No labeling without a kept node below one that is not kept has a greater sum."""
+    rnd = random.Random(12)
+    for _ in range(200):
+        n = rnd.randint(2, 9)
+        parents = [0] + [rnd.randrange(k) for k in range(1, n)]
+        nodes = [htmltext.Node("div", parents[k] if k else -1, 0, (), k) for k in range(n)]
+        odds = [rnd.choice([-2.0, -1.0, -0.5, 0.5, 1.0, 3.0]) for _ in range(n)]
+        kept = htmltext.decode(nodes, np.array(odds))
+        assert kept[0] and all(kept[parents[k]] or not kept[k] for k in range(1, n))
+        best = max(
+            sum(odds[k] for k in range(1, n) if flags >> k & 1)
+            for flags in range(1, 1 << n, 2)
+            if all(flags >> parents[k] & 1 or not flags >> k & 1 for k in range(1, n))
+        )
+        assert abs(sum(odds[k] for k in range(1, n) if kept[k]) - best) < 1e-9
+
+
+def test_trees_learn_what_no_single_feature_tells():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    trees = htmltext.Trees(x[:1500], y[:1500])
+    assert ((trees.log_odds(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.95
+
+
+def test_hundreds_of_siblings_are_counted():
+    page = "<article><h1>T</h1>" + "".join(f"<p>Some words of paragraph {k}, as long as the others are.</p>" for k in range(900)) + '<div class="ad">Buy now</div></article>'
+    (text,) = htmltext.main_texts([page], htmltext.trained())
+    assert len(text.split("\n\n")) == 901 and "Buy" not in text
+
+
 def test_main_text_query(spark):
     from html import unescape
 
