@@ -78,6 +78,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of op9 look at, and its base rule: the part of it that SQL can state."""
+    from roadwell.llm.quality import base_failed, measure
+
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return measure(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *counts, base_failed().alias("base_failed"))
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base findings of op7 by kind: the part of it that SQL can state."""
+    from roadwell.llm.sanitise import KINDS, find_entities
+
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return find_entities(table(spark, sf_dir, "documents")).select("doc_id", *[count(k) for k in range(4)])
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadwell.llm.htmltext import extract
 
@@ -96,6 +112,8 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_main_text": op10_main_text,
+        "quality_counts": quality_counts,
+        "personal_data_counts": personal_data_counts,
     }
 
 
@@ -141,6 +159,54 @@ SELECT doc_id, size, source_size, target, taken,
 FROM timed GROUP BY n, doc_id, size, source_size, target, taken"""
 
 
+REPEATS_SQL = """
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT *, CAST(length(h) // 2 AS BIGINT) AS n FROM raw),
+parts AS (SELECT r, n, c, substr(h, 4000 * c + 1, 4400) AS p FROM (SELECT r, n, h, unnest(range((n - 200) // 2000 + 1)) AS c FROM sized WHERE n >= 200)),
+strings AS (SELECT r, 2000 * c + k AS i, md5(substr(p, 2 * k + 1, 400)) AS w FROM (SELECT r, c, p, unnest(range(least(2000, n - 199 - 2000 * c))) AS k FROM parts)),
+again AS (SELECT w FROM strings GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM strings WHERE w IN (SELECT w FROM again)),
+runs AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM hits),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY r, g),
+pieces AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b, b - a AS gone FROM spans
+  UNION ALL SELECT r, coalesce(max(b), 0), any_value(n), NULL FROM sized LEFT JOIN spans USING (r) GROUP BY r),
+kept AS (
+  SELECT r, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (pieces.b - pieces.a) AS BIGINT)), '' ORDER BY pieces.b) AS k, count(gone) AS n_spans, coalesce(sum(gone), 0) AS n_removed
+  FROM pieces JOIN sized USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(k)) AS kept_sha256 FROM sized JOIN kept USING (r)"""
+
+
+COUNTS_SQL = """
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+again AS (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows JOIN again USING (r, g) CROSS JOIN range(8) AS o(k) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+counts AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN lines USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts"""
+
+
+PERSONAL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS n_email,
+    regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda m: reverse(regexp_replace(m, '[^0-9]', '', 'g'))) AS cards,
+    list_transform(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g'))) AS phones
+  FROM d)
+SELECT doc_id, CAST(n_email AS BIGINT) AS n_email,
+  CAST(len(list_filter(ips, lambda m: list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(cards, lambda c: length(c) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(c) + 1),
+    lambda i: CASE WHEN i % 2 = 1 THEN CAST(c[i] AS INTEGER) ELSE 2 * CAST(c[i] AS INTEGER) // 10 + 2 * CAST(c[i] AS INTEGER) % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phones, lambda n: n BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
+FROM found"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can state; the tests hold the other queries against brute force."""
-    return {"op4_mixing": MIXING_SQL}
+    return {"op4_mixing": MIXING_SQL, "op5_repeats": REPEATS_SQL, "quality_counts": COUNTS_SQL, "personal_data_counts": PERSONAL_SQL}

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadwell.llm.shared import materialise, only_spaces_apart, whole_text
+from roadwell.llm.shared import drop, materialise, only_spaces_apart, whole_text
 
 DISCLOSURE = 0.9
 #: Terms that may be told wrongly over the whole corpus, on average.
@@ -199,7 +199,10 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     # the rows that speak are as many as their different texts
     bits = F.col("n") * F.col("texts") / F.col("both") * (p * F.log2(p / q) + rest)
     told = (q < 1) & (F.log2(p / q) >= DISCLOSURE * information) & (2 * F.col("both") >= F.col("n"))
-    return counted.where(told & (bits >= math.log2(possible / CHANCE))).select("term").distinct()
+    found = materialise(counted.where(told & (bits >= math.log2(possible / CHANCE))).select("term").distinct(), "sanitise-told")
+    for used in (held, known, counts):
+        drop(used)
+    return found
 
 
 def _term_spans(text: Column, told: Column) -> Column:
@@ -241,7 +244,9 @@ def with_term_spans(rows: DataFrame, told: DataFrame | list[int]) -> DataFrame:
 def learn(docs: DataFrame) -> DataFrame | list[int]:
     """What told_terms gives for the terms that disclose an entity of docs."""
     found = materialise(find_entities(docs), "sanitise-entities")
-    return told_terms(docs, materialise(disclosing(found, docs), "sanitise-told"))
+    told = disclosing(found, docs)
+    drop(found)
+    return told_terms(docs, told)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadwell.llm import shingles
-from roadwell.llm.shared import materialise, ship, whole_text
+from roadwell.llm.shared import drop, materialise, ship, whole_text
 
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out by more bits.
 BLOCK = 4096
@@ -277,7 +277,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        old, edges = edges, materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
         if now == before and now[0] == now[2]:
             break
@@ -327,6 +328,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     firsts = labels.groupBy(F.coalesce("label", "key")).agg(F.min("first").alias("first")).where("first IS NOT NULL").select("first._row")
     # of rows alike in id and text that one stays whose other columns have the least hash
     least = marked.groupBy("_row").agg(F.min("_rest").alias("_rest"))
-    kept = rows.where("doc_id IS NOT NULL").join(firsts.join(least, "_row"), ["_row", "_rest"], "left_semi").dropDuplicates(["_row"]).select("_all")
+    firsts = materialise(firsts.join(least, "_row"), "near-firsts")
+    for used in (marked, texts, stars, groups):
+        drop(used)
+    kept = rows.where("doc_id IS NOT NULL").join(firsts, ["_row", "_rest"], "left_semi").dropDuplicates(["_row", "_rest"]).select("_all")
     out = kept.unionByName(held.where("doc_id IS NULL").select("_all"))
     return out.select(*[F.col("_all").getField(c).alias(c) for c in names])
