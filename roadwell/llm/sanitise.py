@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from roadwell.llm.shared import drop, materialise, only_spaces_apart, whole_text
 
-DISCLOSURE = 0.9
+DISCLOSURE = 0.8
 #: Terms that may be told wrongly over the whole corpus, on average.
 CHANCE = 0.01
 #: Told terms that are looked up in each text as a list; more of them are joined.
@@ -205,18 +205,18 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def _term_spans(text: Column, told: Column) -> Column:
-    """Spans of every occurrence of the told terms."""
-    parts = _split(text)
-    before = _running(F.transform(parts, lambda w: F.length(w) + 1), _add)
+def _term_spans(text: Column, is_told) -> Column:
+    """Spans of every occurrence of the told terms; is_told looks a term's hash up."""
+    parts = F.transform(_split(text), lambda w: F.struct(w.alias("word"), _term(w).alias("term")))
+    before = _running(F.transform(_split(text), lambda w: F.length(w) + 1), _add)
 
-    def span(word, at):
-        term = _term(word)
-        start = at + F.length(F.regexp_extract(word, r"^([^\p{L}\p{N}]*+)", 1))
-        hit = (term != "") & F.array_contains(told, _hash(term))
-        return F.when(hit, F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(term)).alias("stop")))
+    def span(part, at):
+        # no letter stands before a term in its word
+        start = at + F.instr(part["word"], part["term"]) - 1
+        return F.struct(part["term"].alias("term"), F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(part["term"])).alias("stop")).alias("span"))
 
-    return F.filter(F.zip_with(parts, before, span), lambda s: s.isNotNull())
+    found = F.filter(F.zip_with(parts, before, span), lambda x: (x["term"] != "") & is_told(_hash(x["term"])))
+    return F.transform(found, lambda x: x["span"])
 
 
 def told_terms(docs: DataFrame, told: DataFrame) -> DataFrame | list[int]:
@@ -229,16 +229,18 @@ def told_terms(docs: DataFrame, told: DataFrame) -> DataFrame | list[int]:
 
 def with_term_spans(rows: DataFrame, told: DataFrame | list[int]) -> DataFrame:
     """rows (with _text and base) and the column spans: base and told terms' spans, by start and then kind."""
-    if isinstance(told, list):
-        # a list of literals is looked up in one hash set for all rows
-        own = F.filter(terms(F.col("_text")), lambda t: t.isin(told)) if told else F.expr("cast(array() as array<bigint>)")
-        rows = rows.withColumn("_told", own)
-    else:
+    if not isinstance(told, list):
         rows = rows.withColumn("text_hash", F.xxhash64("_text")).join(told.withColumnRenamed("told", "_told"), "text_hash", "left").drop("text_hash")
-    found = F.when(F.size("_told") > 0, _term_spans(F.col("_text"), F.col("_told"))).otherwise(F.expr(NO_SPANS))
+        found = F.when(F.size("_told") > 0, _term_spans(F.col("_text"), lambda h: F.array_contains("_told", h))).otherwise(F.expr(NO_SPANS))
+    elif told:
+        # a list of literals is looked up in one hash set for all rows; most texts have none of them
+        any_told = F.exists(terms(F.col("_text")), lambda t: t.isin(told))
+        found = F.when(any_told, _term_spans(F.col("_text"), lambda h: h.isin(told))).otherwise(F.expr(NO_SPANS))
+    else:
+        found = F.expr(NO_SPANS)
     # a term inside a base span is covered already
     own = F.filter(found, lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    return rows.withColumn("spans", F.sort_array(F.concat("base", own))).drop("_told")
+    return rows.withColumn("spans", F.sort_array(F.concat("base", own)))
 
 
 def learn(docs: DataFrame) -> DataFrame | list[int]:
