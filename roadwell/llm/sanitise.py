@@ -75,6 +75,11 @@ def _is_card(match: Column) -> Column:
     return F.when(length.between(14, 19), _luhn(_digits(match))).otherwise(False)
 
 
+def _let(x: Column, use) -> Column:
+    """use(x) with x evaluated once: column expressions share nothing by themselves."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _running(values: Column, step) -> Column:
     """For each of an array's numbers what step (a sum, a maximum) makes of 0 and those before it.
 
@@ -86,12 +91,16 @@ def _running(values: Column, step) -> Column:
         return F.struct(step(state["t"], value).alias("t"), F.concat(state["out"], F.array(state["t"])).alias("out"))
 
     start = F.struct(F.lit(0).alias("t"), F.expr("cast(array() as array<int>)").alias("out"))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / RUN).cast("int") - 1, F.lit(0))),
-        lambda k: F.aggregate(F.slice(values, k * RUN + 1, RUN), start, grow),
-    )
-    bases = F.aggregate(runs, start, lambda state, run: grow(state, run["t"]), lambda state: state["out"])
-    return F.flatten(F.zip_with(runs, bases, lambda run, base: F.transform(run["out"], lambda v: step(base, v))))
+
+    def cut(held):
+        last = F.greatest(F.ceil(F.size(held) / RUN).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(held, k * RUN + 1, RUN), start, grow))
+
+    def join(runs):
+        bases = F.aggregate(runs, start, lambda state, run: grow(state, run["t"]), lambda state: state["out"])
+        return F.flatten(F.zip_with(runs, bases, lambda run, base: F.transform(run["out"], lambda v: step(base, v))))
+
+    return _let(values, lambda held: _let(cut(held), join))
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -103,14 +112,16 @@ def _spans(text: Column, pattern: str, kind: int, valid, present: Column) -> Col
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern)
     gaps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    before = _running(F.transform(gaps, lambda g: g["gap"] + F.length(g["m"])), _add)
 
     def span(g, at):
         start = at + g["gap"]
         return F.struct(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(g["m"])).alias("stop")).alias("span"), g["m"].alias("m"))
 
-    found = F.transform(F.filter(F.zip_with(gaps, before, span), lambda x: valid(x["m"])), lambda x: x["span"])
-    return F.when(present, found).otherwise(F.expr(NO_SPANS))
+    def placed(held):
+        before = _running(F.transform(held, lambda g: g["gap"] + F.length(g["m"])), _add)
+        return F.transform(F.filter(F.zip_with(held, before, span), lambda x: valid(x["m"])), lambda x: x["span"])
+
+    return F.when(present, _let(gaps, placed)).otherwise(F.expr(NO_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -208,15 +219,18 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
 def _term_spans(text: Column, is_told) -> Column:
     """Spans of every occurrence of the told terms; is_told looks a term's hash up."""
     parts = F.transform(_split(text), lambda w: F.struct(w.alias("word"), _term(w).alias("term")))
-    before = _running(F.transform(_split(text), lambda w: F.length(w) + 1), _add)
 
     def span(part, at):
         # no letter stands before a term in its word
         start = at + F.instr(part["word"], part["term"]) - 1
         return F.struct(part["term"].alias("term"), F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(part["term"])).alias("stop")).alias("span"))
 
-    found = F.filter(F.zip_with(parts, before, span), lambda x: (x["term"] != "") & is_told(_hash(x["term"])))
-    return F.transform(found, lambda x: x["span"])
+    def placed(held):
+        before = _running(F.transform(held, lambda p: F.length(p["word"]) + 1), _add)
+        found = F.filter(F.zip_with(held, before, span), lambda x: (x["term"] != "") & is_told(_hash(x["term"])))
+        return F.transform(found, lambda x: x["span"])
+
+    return _let(parts, placed)
 
 
 def told_terms(docs: DataFrame, told: DataFrame) -> DataFrame | list[int]:

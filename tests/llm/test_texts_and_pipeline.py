@@ -148,11 +148,11 @@ def test_terms_are_found_on_the_given_documents(spark):
 
 
 def test_thousands_of_matches(spark):
-    text = "é a@b.co, " * 30_000
+    text = "é a@b.co, " * 10_000
     (row,) = sanitise.find_spans(docs(spark, [text])).collect()
-    assert len(row.base) == 30_000 and [row.base[k].start for k in (0, 1, 29_999)] == [2, 12, 299_992]
+    assert len(row.base) == 10_000 and [row.base[k].start for k in (0, 1, 9_999)] == [2, 12, 99_992]
     (clean,) = sanitise.sanitise(docs(spark, [text])).collect()
-    assert clean.text == "é [EMAIL], " * 30_000
+    assert clean.text == "é [EMAIL], " * 10_000
 
 
 @pytest.mark.parametrize("name", ["all", "_key", "_first", "_plans", "_row", "_text", "media", "spans", "pattern", "_cut", "_at", "key"])
