@@ -1,6 +1,7 @@
 """Texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which two texts at 0.8 share
+Candidates come from SimHash, whose fingerprints of the same shingles link within a radius, and for
+what no radius holds from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which two texts at 0.8 share
 at least one but for a chance of 2 in 10^8, and nearer ones all the more.  What candidates join is a
 group; every pair of a group that is not joined yet is compared by its whole sets, so links are exact.
 A group beyond ``BLOCK`` texts is compared block against block in tasks of their own.
@@ -52,31 +53,41 @@ def bands(found: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint: a bit is set where over half of the hashes have it; zero for none."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def _words(text: bytes) -> list[bytes]:
     # bytes.lower() and bytes.split() know ASCII alone, as in the fingerprints
     return text.lower().split()
 
 
 def add_sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep with key, a hash of the words in order, and the keys of the bands."""
+    """The columns of keep with key, a hash of the words in order, the fingerprint fp and the keys of the bands."""
     ship(docs.sparkSession)
 
     def make(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            keys, found = [], []
+            keys, prints, found = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 words = _words(text)
                 keys.append(xxh64_intdigest(b" ".join(words), 7))
-                found.append(bands(shingles(words, xxh64_intdigest)))
+                own = shingles(words, xxh64_intdigest)
+                prints.append(majority(own))
+                found.append(bands(own))
             own = [batch.column(k) for k in range(len(keep))]
-            keys = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*own, keys, pa.array(found, pa.list_(pa.int64()))], [*keep, "key", "bands"])
+            keys, prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, prints))
+            yield pa.RecordBatch.from_arrays([*own, keys, prints, pa.array(found, pa.list_(pa.int64()))], [*keep, "key", "fp", "bands"])
 
     held = docs.select(*keep, F.encode(whole_text(), "utf-8").alias("raw"))
     schema = ", ".join(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep)
-    return held.mapInArrow(make, f"{schema}, key long, bands array<long>")
+    return held.mapInArrow(make, f"{schema}, key long, fp long, bands array<long>")
 
 
 def candidates(texts: DataFrame) -> DataFrame:

@@ -46,10 +46,7 @@ def fingerprint(words: list[bytes], width: int, digest) -> int:
     begins = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     ends = ends[-n:].tolist()
     hashes = np.array([digest(text[a:b], 42) for a, b in zip(begins, ends)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for lo in range(0, n, 8192):
-        counts += np.unpackbits(hashes[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return shingles.majority(hashes)
 
 
 def add_fingerprints(docs: DataFrame, keep: list[str], width: int) -> DataFrame:
@@ -301,11 +298,21 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def print_candidates(texts: DataFrame, radius: int = MOST) -> DataFrame:
+    """Pairs (a, b) of keys that join all whose fingerprints (key, fp) are linked: each fingerprint's keys with its least one."""
+    prints = materialise(texts.groupBy("fp").agg(F.min("key").alias("b")), "near-prints")
+    same = texts.join(prints, "fp").where("key <> b").select(F.col("key").alias("a"), "b")
+    links = links_between(prints.select("fp"), radius).withColumnsRenamed({"a": "x", "b": "y"})
+    ends = [prints.select(F.col("fp").alias(c), F.col("b").alias(k)) for c, k in (("x", "a"), ("y", "b"))]
+    return same.unionByName(links.join(ends[0], "x").join(ends[1], "y").select("a", "b"))
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of near-duplicates: the one of the smallest doc_id.
 
-    Texts are linked where their sets of five-word shingles have a Jaccard similarity of 0.8 or more,
-    not by their fingerprints: no radius holds all such pairs.  A row whose doc_id is null links like
+    Texts are linked where their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Their fingerprints within the radius give candidates, and MinHash those that no radius holds; the
+    whole sets are compared after.  A row whose doc_id is null links like
     any other and stays.  Of different texts that share the smallest doc_id the one of the least hash stays.
     """
     names = docs.columns
@@ -315,9 +322,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     rows = held.withColumn("_row", F.xxhash64("doc_id", whole_text())).withColumn("_rest", F.xxhash64(F.lit(0), *rest))
     marked = materialise(shingles.add_sketches(rows, ["doc_id", "_row", "_rest"]), "near-sketches")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))
-    texts = marked.groupBy("key").agg(first.alias("first"), F.min("_row").alias("_row"), F.any_value("bands").alias("bands"))
+    texts = marked.groupBy("key").agg(first.alias("first"), F.min("_row").alias("_row"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     texts = materialise(texts, "near-texts")
-    stars = materialise(components(shingles.candidates(texts)), "near-candidates")
+    stars = materialise(components(shingles.candidates(texts).unionByName(print_candidates(texts))), "near-candidates")
     crowds = stars.groupBy("label").count().where(F.col("count") > shingles.BLOCK)
     pieces = F.coalesce(F.ceil(F.col("count") / shingles.BLOCK), F.lit(1)).cast("int")
     placed = stars.join(F.broadcast(crowds), "label", "left").select(F.col("node").alias("key"), "label", pieces.alias("pieces"))

@@ -137,6 +137,28 @@ def test_near_copies_go_at_jaccard_of_five_words(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_fingerprints_alone_find_the_near_copies_within_their_radius(spark, monkeypatch):
+    """Without any MinHash candidate those whose fingerprints link still go."""
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(900)]
+    near = next(" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(900) if 0 < differ(" ".join(base), " ".join([*base[:k], "other", *base[k + 1 :]])) <= 2)
+    rows = [(1, " ".join(base), "s"), (2, near, "s"), (3, "quite another text that stays as it is", "s")]
+    monkeypatch.setattr(simhash.shingles, "candidates", lambda texts: texts.selectExpr("key AS a", "key AS b").limit(0))
+    assert sorted(r.doc_id for r in simhash.first_of_each(docs(spark, rows)).collect()) == [1, 3]
+    apart = simhash.shingles.add_sketches(docs(spark, rows), ["doc_id"])
+    got = {frozenset((r.a, r.b)) for r in simhash.print_candidates(apart).collect()}
+    key = {r.doc_id: r.key for r in apart.collect()}
+    assert got == {frozenset((key[1], key[2]))}
+
+
+def differ(one, two):
+    """Bits in which the fingerprints of two texts' sets of five-word shingles differ."""
+    from xxhash import xxh64_intdigest
+
+    made = [simhash.shingles.majority(simhash.shingles.shingles(t.encode().split(), xxh64_intdigest)) for t in (one, two)]
+    return (made[0] ^ made[1]).bit_count()
+
+
 def test_one_row_of_a_group_stays_where_ids_repeat(spark):
     base = [f"word{k}" for k in range(80)]
     near = " ".join(["other", *base[1:]])
