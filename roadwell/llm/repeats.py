@@ -198,43 +198,47 @@ def bucket_pointers(text: np.ndarray, limit: np.ndarray, depth: int) -> tuple[np
     for k in range(GRAM):
         # a text's end sorts before every byte
         grams = grams * 257 + np.where(reach > k, digits[k : k + n], 0)
+    # gathers from narrow columns take half the time
+    whole = np.int32 if n + depth < 1 << 31 else np.int64
     order = np.argsort(grams)
-    pointer = np.empty(n, np.int64)
-    known = np.full(n, GRAM, np.int64)
-    pointer[order] = _ends(grams[order][1:] == grams[order][:-1])
-    del grams, digits
+    first = grams[order]
+    order, reach, limit = order.astype(whole), reach.astype(whole), limit.astype(whole)
+    pointer = np.empty(n, whole)
+    known = np.full(n, GRAM, whole)
+    pointer[order] = _ends(first[1:] == first[:-1])
+    del grams, digits, first
+    places = np.arange(n)
     while True:
-        size = np.bincount(pointer, minlength=n)
-        todo = order[(size[pointer[order]] > 1) & (known[order] < depth) & (known[order] <= reach[order])] if n else order
-        # order holds a bucket's members side by side, at places that refining never leaves
+        # order holds a bucket's members side by side, at places that refining never leaves; what rests once rests for good
+        todo = order[places]
+        bucket, agreed = pointer[todo], known[todo]
+        goes = (np.bincount(pointer, minlength=n)[bucket] > 1) & (agreed < depth) & (agreed <= reach[todo])
+        places, todo, bucket, agreed = places[goes], todo[goes], bucket[goes], agreed[goes]
         if not len(todo):
             return pointer, known
-        cuts = np.flatnonzero(np.concatenate([[True], pointer[todo][1:] != pointer[todo][:-1]]))
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         firsts = np.unique(cuts[np.searchsorted(cuts, np.arange(0, len(todo), -(-len(todo) // BLOCKS)), "right") - 1])
         for lo, hi in zip(firsts, [*firsts[1:], len(todo)]):
-            some = todo[lo:hi]
-            on = some + known[some]
-            later = np.where(on < limit[some], pointer[np.minimum(on, n - 1)], -1)
-            more = np.where(later >= 0, known[np.minimum(on, n - 1)], depth)
-            turn = np.argsort(pointer[some] * (n + 1) + later + 1)
-            some, later, more = some[turn], later[turn], more[turn]
-            old = pointer[some]
+            some, old, held = todo[lo:hi], bucket[lo:hi], agreed[lo:hi]
+            on = some + held
+            at = np.minimum(on, n - 1)
+            later = np.where(on < limit[some], pointer[at], whole(-1))
+            held += np.where(later >= 0, known[at], whole(depth))
+            turn = np.argsort(old * np.int64(n + 1) + later + 1)
+            some, later, held = some[turn], later[turn], held[turn]
             begin = np.concatenate([[True], old[1:] != old[:-1]])
             same = ~begin[1:] & (later[1:] == later[:-1])
             # a bucket's last member keeps its place; the members before it stand one place down each
-            last = np.flatnonzero(np.concatenate([begin[1:], [True]]))
-            of = np.searchsorted(last, np.arange(len(some)))
-            place = old - (last[of] - np.arange(len(some)))
-            ends = np.flatnonzero(np.concatenate([~same, [True]]))
+            place = old - (_ends(~begin[1:]) - np.arange(len(some)))
             order[place] = some
-            pointer[some] = place[ends[np.searchsorted(ends, np.arange(len(some)))]]
-            known[some] += more
+            pointer[some] = place[_ends(same)]
+            known[some] = held
 
 
 def _ends(same: np.ndarray) -> np.ndarray:
     """For sorted members the place of the last one of each one's bucket."""
     last = np.flatnonzero(np.concatenate([~same, [True]]))
-    return last[np.searchsorted(last, np.arange(len(same) + 1))]
+    return np.repeat(last, np.diff(last, prepend=-1))
 
 
 def refine(text: np.ndarray, starts: np.ndarray, limit: np.ndarray, length: int) -> np.ndarray:
@@ -247,10 +251,11 @@ def refine(text: np.ndarray, starts: np.ndarray, limit: np.ndarray, length: int)
     # in one bucket of that depth strings are equal; neighbours in two may be, where it went deeper
     equal = (pointer[some][1:] == pointer[some][:-1]) & (known[some][1:] >= length)
     left = np.flatnonzero(~equal)
+    # the eight bytes from each place on, as one number
+    words = np.ndarray(len(text) - 7, np.int64, text, strides=(1,))
     for k in range(0, length, 8):
         at = min(k, length - 8)
-        words = np.lib.stride_tricks.sliding_window_view(text, 8)
-        same = (words[some[left] + at] == words[some[left + 1] + at]).all(1)
+        same = words[some[left] + at] == words[some[left + 1] + at]
         left = left[same]
     equal[left] = True
     out = np.empty(len(starts), np.int64)

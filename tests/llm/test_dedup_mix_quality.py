@@ -230,6 +230,22 @@ def test_refinement_against_sorting():
     assert len(by) == len({text[i : i + 200] for i in starts})
 
 
+def test_refinement_of_several_texts_looks_no_place_up(monkeypatch):
+    """Texts with ends of their own against brute force; the places of buckets are counted along, not searched for one by one."""
+    rnd, keys = random.Random(3), []
+    lookup = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda held, found, *more: (keys.append(np.size(found)), lookup(held, found, *more))[1])
+    whole = bytes(rnd.choice(b"abc") for _ in range(900))
+    parts = [whole[a:b] for a, b in ((0, 500), (100, 700), (250, 900), (300, 520), (300, 500))] + [b"a" * 420, b"a" * 230]
+    bucket, times = repeats.sort_group([(x, k + 1) for k, x in enumerate(parts)])
+    strings = [(x[i : i + 200], k + 1) for k, x in enumerate(parts) for i in range(len(x) - 199)]
+    want = Counter()
+    for x, n in strings:
+        want[x] += n
+    assert [times[b] for b in bucket] == [want[x] for x, _ in strings] and len(times) == len(want)
+    assert max(keys) <= repeats.BLOCKS + 1
+
+
 def brute_mix(rows):
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = [(i, s, words(t)) for i, t, s in rows]
